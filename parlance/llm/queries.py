@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parlance.llm import bpe, mix
+from parlance.llm import bpe, mix, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op10_mix": mix.op10_mix,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_near_duplicates": neardup.OP6_SQL,
     "op10_mix": mix.OP10_SQL,
 }
