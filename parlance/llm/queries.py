@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parlance.llm import bpe, mix, neardup
+from parlance.llm import bpe, fingerprint, mix, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_mix": mix.op10_mix,
     "pipeline": corpus_pipeline.run,
 }
