@@ -64,3 +64,21 @@ class TwoGenerations(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+
+_models: dict = {}
+
+
+def shared_model(spark: SparkSession, value) -> tuple:
+    """A broadcast of a model of a fixed size, and a name for it."""
+    return uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+
+def worker_model(shared: tuple, make: Callable):
+    """make(value) of a shared model, once in each worker; older ones go when there are several."""
+    key, held = shared
+    if key not in _models:
+        while len(_models) > 1:
+            _models.pop(next(iter(_models)))
+        _models[key] = make(held.value)
+    return _models[key]

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parlance.llm import bpe, fingerprint, mix, neardup, warc
+from parlance.llm import bpe, fingerprint, langid, mix, neardup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op3_warc": warc.op3_warc,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_language": langid.op7_language,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_mix": mix.op10_mix,
     "pipeline": corpus_pipeline.run,
