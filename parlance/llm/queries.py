@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parlance.llm import bpe, fingerprint, langid, mix, neardup, quality, toxicity, warc
+from parlance.llm import bpe, fingerprint, langid, mix, neardup, pagetext, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": quality.op5_quality,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_language": langid.op7_language,
+    "op8_page_text": pagetext.op8_page_text,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_mix": mix.op10_mix,
     "pipeline": corpus_pipeline.run,
