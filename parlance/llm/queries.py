@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from parlance.llm import bpe, fingerprint, langid, mix, neardup, pagetext, quality, toxicity, warc
+from parlance.llm import ann, bpe, fingerprint, langid, mix, neardup, pagetext, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_warc": warc.op3_warc,
+    "op4_nearest": ann.op4_nearest,
     "op5_quality": quality.op5_quality,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_language": langid.op7_language,
