@@ -4,7 +4,7 @@ Vectors are cut into short subspaces of 16 codewords each. Codes and codewords a
 the residual along the vector (which moves the large inner products) more than the one across it. For every query a
 table holds its inner product with each codeword; two subspaces' codes make one byte, so a vector's estimate is a sum
 of look-ups by its bytes. The best estimates of each block are scored again on the original vectors, in double
-precision.
+precision, and with them all whose estimate is not further below the best found than the errors seen.
 
 Queries are a stated set; rows and queries are dealt into blocks, and each pair of blocks is one task's work. Equal
 vectors of a block are scanned once and bring their least ids. The codebook is fitted on a bounded sample, but every
@@ -31,8 +31,8 @@ SAMPLE = 4096
 #: Components of a subspace, inner products (as a share of the largest) from which the loss is to be small.
 WIDTH, THRESHOLD = 2, 0.2
 ROWS, QUERIES = 8192, 2048
-#: Vectors of a block that are scored exactly for each query.
-RERANK = 160
+#: Vectors of a block that are scored exactly for each query, at least.
+RERANK = 96
 
 
 @dataclass
@@ -150,8 +150,13 @@ def _search_cell(rows: list[tuple], queries: list[tuple], book: Codebook, k: int
             estimate += pairs[:, j].take(c, axis=1)
         most = min(RERANK, len(lead))
         best = np.argpartition(-estimate, most - 1, axis=1)[:, :most] if most < len(lead) else np.tile(np.arange(len(lead)), (len(part), 1))
-        for row, (query, vector, _), near in zip(q.astype(np.float64), part, best):
+        for row, (query, _, _), near, guess in zip(q.astype(np.float64), part, best, estimate):
             score = (x[near] * row).sum(axis=1)  # the same for equal vectors, wherever they stand
+            if most < len(lead):
+                # a dense cluster has many estimates alike: all that may still be among the best k are scored too
+                level = np.partition(score, -k)[-k] - np.quantile(score - guess[near], 0.9)
+                more = np.setdiff1d(np.flatnonzero(guess >= level), near, assume_unique=True)
+                near, score = np.concatenate([near, more]), np.concatenate([score, (x[more] * row).sum(axis=1)])
             found: list[tuple[float, int]] = []
             for g in np.lexsort((ids[lead[near]], -score)):
                 if len(found) >= k and -found[-1][0] > score[g]:
