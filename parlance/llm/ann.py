@@ -32,7 +32,7 @@ SAMPLE = 4096
 WIDTH, THRESHOLD = 2, 0.2
 ROWS, QUERIES = 8192, 2048
 #: Vectors of a block that are scored exactly for each query, at least.
-RERANK = 96
+RERANK = 192
 
 
 @dataclass
@@ -154,7 +154,7 @@ def _search_cell(rows: list[tuple], queries: list[tuple], book: Codebook, k: int
             score = (x[near] * row).sum(axis=1)  # the same for equal vectors, wherever they stand
             if most < len(lead):
                 # a dense cluster has many estimates alike: all that may still be among the best k are scored too
-                level = np.partition(score, -k)[-k] - np.quantile(score - guess[near], 0.9)
+                level = np.partition(score, -k)[-k] - np.quantile(score - guess[near], 0.95)
                 more = np.setdiff1d(np.flatnonzero(guess >= level), near, assume_unique=True)
                 near, score = np.concatenate([near, more]), np.concatenate([score, (x[more] * row).sum(axis=1)])
             found: list[tuple[float, int]] = []
