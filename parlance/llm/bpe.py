@@ -15,6 +15,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,6 +29,9 @@ from parlance.llm.common import TwoGenerations, table
 #: Stands for the end of a word inside the automaton; a private-use character that no byte is written as.
 END = ""
 
+#: Rows that are encoded before they are handed on.
+ROWS = 500
+
 
 def byte_characters() -> list[str]:
     """The printable character that byte-level vocabularies write each byte as."""
@@ -216,19 +220,26 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
-        for batch in batches:
-            n, each, a, b = [], [], [], []
-            for text in batch.column(len(keep)):
-                parts = bpe.parts(text.as_py() or "")
-                n.append(sum([x[1] for x in parts]))
+        names = [*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, flat, ends, a, b = [], array("i"), [0], [], []
+                for text in batch.column(len(keep)):
+                    parts = bpe.parts(text.as_py() or "")
+                    n.append(sum([x[1] for x in parts]))
+                    if ids:
+                        for x in parts:
+                            flat.extend(x[3])
+                        ends.append(len(flat))
+                    if digests:
+                        a.append(sha(" ".join([x[0] for x in parts])))
+                        b.append(sha(" ".join([x[2] for x in parts])))
+                columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64())]
                 if ids:
-                    each.append([i for x in parts for i in x[3]])
-                if digests:
-                    a.append(sha(" ".join([x[0] for x in parts])))
-                    b.append(sha(" ".join([x[2] for x in parts])))
-            columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64())]
-            columns += [pa.array(each, pa.list_(pa.int32()))] * ids + [pa.array(x, pa.string()) for x in (a, b)] * digests
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))))
+                columns += [pa.array(x, pa.string()) for x in (a, b)] * digests
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema)
 

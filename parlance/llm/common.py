@@ -82,3 +82,24 @@ def worker_model(shared: tuple, make: Callable):
             _models.pop(next(iter(_models)))
         _models[key] = make(held.value)
     return _models[key]
+
+
+def scored(docs: DataFrame, model, make: Callable, text_col: str, keep: list[str], out: dict[str, str], columns: Callable, choose: Callable | None = None) -> DataFrame:
+    """keep's columns and those that make(model)(texts) gives, turned to Arrow by columns; choose tells the rows that stay.
+
+    Each column crosses to Python once, the texts too where they are kept.
+    """
+    shared = shared_model(docs.sparkSession, model)
+    kinds = dict(docs.dtypes)
+    sent = keep if text_col in keep else [*keep, text_col]
+    at = sent.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = worker_model(shared, make)
+        for batch in batches:
+            got = score([t.as_py() for t in batch.column(at)])
+            rows = pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns(got)], names=[*keep, *out])
+            yield rows if choose is None else rows.filter(pa.array(choose(got), pa.bool_()))
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {k}" for c, k in out.items())])
+    return docs.select(*[docs[f"`{c}`"] for c in sent]).mapInArrow(run, schema)

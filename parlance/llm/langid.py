@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import TwoGenerations, bounded_sample, crc_mod, shared_model, table, worker_model
+from parlance.llm.common import TwoGenerations, bounded_sample, crc_mod, scored, table
 
 #: Sample texts of a language, and the longest text (in characters) that is used to learn from.
 SAMPLE, LONGEST = 400, 20_000
@@ -117,21 +116,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit({x: [t for _, t in sorted(v)] for x, v in out.items()})
 
 
-def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (default: the id), lang_pred and score. One pass, without a shuffle."""
-    keep = keep or [id_col]
-    kinds = dict(docs.dtypes)
-    held = shared_model(docs.sparkSession, filters)  # 2 MB of slots
+def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), least: float | None = None) -> DataFrame:
+    """keep's columns (default: the id), the language and its score of every row, or of those that score at least least; in one pass without a shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_model(held, Scorer)
-        for batch in batches:
-            got = [scorer(t.as_py()) for t in batch.column(len(keep))]
-            columns = [*batch.columns[: len(keep)], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+    out names the two; neither may be one of keep. The filters are 2 MB of slots.
+    """
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double"
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text")).mapInArrow(run, schema)
+    def scorer(f: Filters):
+        one = Scorer(f)
+        return lambda texts: [one(t) for t in texts]
+
+    columns = lambda got: [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
+    return scored(docs, filters, scorer, text_col, keep or [id_col], {out[0]: "string", out[1]: "double"}, columns, None if least is None else lambda got: np.array([x >= least for _, x in got], bool))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

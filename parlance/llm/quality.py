@@ -10,7 +10,6 @@ A null text counts as empty and is scored like any other. Words are memoised wit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import labelled
-from parlance.llm.common import TwoGenerations, crc_mod, shared_model, table, worker_model
+from parlance.llm.common import TwoGenerations, crc_mod, scored, table
 
 MOD, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -143,19 +142,12 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Machine:
     return m
 
 
-def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns (default: the id) and quality_score of every row, in one pass without a shuffle."""
-    keep = keep or [id_col]
-    shared = shared_model(docs.sparkSession, model)  # 1 MB
-    kinds = dict(docs.dtypes)
+def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "quality_score", least: float | None = None) -> DataFrame:
+    """keep's columns (default: the id) and the score of every row, or of those of at least least; in one pass without a shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = worker_model(shared, lambda m: m)
-        for batch in batches:
-            got = m.score([t.as_py() for t in batch.column(len(keep))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, "quality_score"])
-
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", quality_score double")
+    out names the score; it must not be one of keep.
+    """
+    return scored(docs, model, lambda m: m.score, text_col, keep or [id_col], {out: "double"}, lambda got: [pa.array(got, pa.float64())], None if least is None else lambda got: got >= least)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
