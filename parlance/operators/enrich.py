@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parlance.functions import text as T
 
@@ -102,12 +103,12 @@ def translated(m: DataFrame, translate: Callable[[Column], Column] | None = None
 _ANY_LINK = r"(?i)(?:https?://|www\.)\S+|\b[a-z0-9-]+\.(?:com|org|net|io|co|in|uk|me)\b\S*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFKC", s) if s is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def emoji_name(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.name(s[0], "").lower() if s else None)
 

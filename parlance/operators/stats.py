@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 
-DAY = F.to_date("timestamp")
+
+
+def day() -> Column:
+    return F.to_date("timestamp")
+
+
 ORDER = ("timestamp", "msg_index")
 
 
@@ -37,14 +42,14 @@ def overview_totals(m: DataFrame) -> DataFrame:
     per_day = F.col("total_messages") / F.col("active_days")
     rows = m.groupBy("upload_id").agg(
         F.count("*").alias("total_messages"), F.sum("word_count").alias("total_words"), F.sum("char_count").alias("total_chars"),
-        F.sum(F.coalesce(F.size("emojis"), F.lit(0))).alias("total_emojis"), F.count_distinct(DAY).alias("active_days"),
+        F.sum(F.coalesce(F.size("emojis"), F.lit(0))).alias("total_emojis"), F.count_distinct(day()).alias("active_days"),
     )
     return rows.withColumn("messages_per_day", F.round(F.when(F.col("active_days") > 0, per_day).otherwise(0.0), 2))
 
 
 def date_stats(m: DataFrame) -> DataFrame:
     """Days with messages, days from first to last, the longest run of days and the longest gap between two."""
-    days = m.select("upload_id", DAY.alias("d")).distinct()
+    days = m.select("upload_id", day().alias("d")).distinct()
     w = by_upload("d")
     days = days.withColumns({"run": F.date_sub("d", F.row_number().over(w)), "gap": F.datediff("d", F.lag("d").over(w))})
     runs = days.groupBy("upload_id", "run").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("gap").alias("gap"))
@@ -78,7 +83,7 @@ def median_response(m: DataFrame) -> DataFrame:
 
 
 def who_texts_first(m: DataFrame) -> DataFrame:
-    starts = first_of(m.select("upload_id", "sender", "timestamp", "msg_index", DAY.alias("d")), ["upload_id", "d"], *ORDER)
+    starts = first_of(m.select("upload_id", "sender", "timestamp", "msg_index", day().alias("d")), ["upload_id", "d"], *ORDER)
     counts = starts.groupBy("upload_id", "sender").agg(F.count("*").alias("days"))
     return counts.withColumn("share", F.round(F.col("days") / F.sum("days").over(Window.partitionBy("upload_id")), 4))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators.stats import DAY, top
+from parlance.operators.stats import day, top
 
 
 def live(m: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def distinctive(m: DataFrame, least: int = 5, k: int = 12) -> DataFrame:
 
 
 def length_timeline(m: DataFrame) -> DataFrame:
-    return live(m).where("content <> ''").groupBy("upload_id", DAY.alias("day"), "sender").agg(F.round(F.avg("char_count"), 2).alias("avg_length"))
+    return live(m).where("content <> ''").groupBy("upload_id", day().alias("day"), "sender").agg(F.round(F.avg("char_count"), 2).alias("avg_length"))
 
 
 def emoji_frequency(m: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def emoji_of_one_sender(m: DataFrame, least: int = 5, share: float = 0.7, k: int
 
 def trend(m: DataFrame, word: str) -> DataFrame:
     """Messages with the word on each day."""
-    return live(m).where(T.contains_word(F.col("content"), word)).groupBy("upload_id", DAY.alias("day")).agg(F.count("*").alias("messages"))
+    return live(m).where(T.contains_word(F.col("content"), word)).groupBy("upload_id", day().alias("day")).agg(F.count("*").alias("messages"))
 
 
 NIGHT = (23, 0, 1, 2, 3, 4)
