@@ -26,8 +26,8 @@ from parlance.llm.common import table
 from parlance.llm.minhash import mix, shingle_hashes, word_hashes
 
 SAMPLES, WIDTH = 64, 5
-#: Documents of a range of ids that one task holds in order.
-RANGE = 20_000
+#: Documents of a range of ids, and ranges at most: a range is read in blocks, so it may be of any size.
+RANGE, RANGES = 500, 1 << 15
 
 
 @functools.lru_cache(maxsize=1)
@@ -96,11 +96,15 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     n, ids = rows.select("doc_id"), None
     count = n.count()
-    k = max(1, -(-count // RANGE))
+    k = min(RANGES, max(1, -(-count // RANGE)))
     # bounds: one for each range, a few bytes each
     ids = n.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10_000)).first()[0] if k > 1 else []
     bounds = sorted(set(ids or []))
-    place = F.lit(0) if not bounds else F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0))
+    # two steps of look-up: the chunk of bounds, then the place in it
+    chunks = [bounds[i : i + 64] for i in range(0, len(bounds), 64)]
+    below = lambda a: F.coalesce(F.size(F.filter(a, lambda b: b < F.col("doc_id"))), F.lit(0))
+    chunk = below(F.lit([c[-1] for c in chunks])) if bounds else F.lit(0)
+    place = chunk * 64 + below(F.get(F.lit(chunks), chunk)) if bounds else F.lit(0)
     placed = rows.withColumn("range", place.cast("int"))
     # the first row of each range goes to the range before it too
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64("text"))
@@ -113,7 +117,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     copies = placed.join(F.broadcast(heads), "range").where(F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_hash")))
     copies = copies.dropDuplicates(["range"]).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("last"))
     both = placed.withColumn("last", F.lit(False)).unionByName(copies)
-    parts = max(1, len(ranges))
+    parts = max(1, -(-len(ranges) // 3))
     return both.repartition(parts, "range").sortWithinPartitions("range", "last", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
 
