@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import chunks, conflict, emotion, entities, health, language, love, search, stats, uploads, words
-from parlance.plans import sql
-from parlance.sources import fixtures
+from parlance.operators import chunks, conflict, emotion, enrich, entities, health, language, love, search, stats, uploads, words
+from parlance.plans import exported, sql
+from parlance.sources import fixtures, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "A08_participants"
@@ -29,9 +29,6 @@ def asked(c: DataFrame) -> DataFrame:
     return c.where("vec_id IN (3, 17, 101, 250, 444)").select(F.col("vec_id").alias("query_id"), "upload_id", F.col("embedding").alias("query"))
 
 
-SCALARS = ("msg_index", "sender", "upload_id")
-
-
 def scan(m: DataFrame) -> DataFrame:
     return m.where("NOT is_deleted").select("upload_id", "msg_index", "msg_id", "sender", "content", "sentiment_score")
 
@@ -126,7 +123,36 @@ def cited(m: DataFrame) -> DataFrame:
     return m.select("upload_id", "msg_index", F.explode(search.citations(answer)).alias("cited"))
 
 
+def modelled(m: DataFrame) -> DataFrame:
+    """The stand-ins' sentiment and emotion."""
+    return m.select("upload_id", "msg_index", enrich.sentiment(F.col("content")).alias("s"), enrich.emotion(F.col("content")).alias("e")).select("upload_id", "msg_index", F.col("s.label").alias("sentiment_label"), F.round("s.score", 6).alias("sentiment_score"), F.col("e.label").alias("emotion_label"))
+
+
+def cleaned(m: DataFrame) -> DataFrame:
+    # fixed values: a few of the abbreviations that texts are freed from
+    short = {"brb": "be right back", "idk": "I don't know", "lol": "laughing out loud", "omw": "on my way", "tbh": "to be honest"}
+    return m.select("upload_id", "msg_index", enrich.clean_for_models(F.col("content"), short).alias("clean"))
+
+
+def vectors(m: DataFrame) -> DataFrame:
+    return chunks.chunks(m).select("upload_id", "chunk_index", F.to_json(F.transform(enrich.hashed_vector(F.col("content")), lambda x: F.round(x, 4))).alias("vector"))
+
+
 QUERIES: dict[str, Query] = {
+    "S02_detect": exported.detected,
+    "S04_whatsapp": exported.round_trip("whatsapp"),
+    "S05_telegram": exported.round_trip("telegram"),
+    "S06_instagram": exported.round_trip("instagram"),
+    "S07_facebook": exported.round_trip("facebook"),
+    "S08_delimited": exported.round_trip("csv"),
+    "K07_documents": on_messages(lambda m: ingest.document(m, 5)),
+    "U01_sentiment_emotion": on_messages(modelled),
+    "U03_keywords": on_messages(enrich.keywords),
+    "U04_topics": on_messages(enrich.topics),
+    "A45_topic_table": on_messages(enrich.topic_table),
+    "U07_translated": on_messages(lambda m: enrich.translated(m).select("upload_id", "msg_index", "content_english", "was_translated")),
+    "V01_vectors": on_messages(vectors),
+    "X09_clean": on_messages(cleaned),
     "S09_ordered_scan": on_messages(scan),
     "S12_stride_sample": on_messages(lambda m: love.stride_sample(m, 200).select("upload_id", "msg_index")),
     "S13_document_export": on_messages(lambda m: m.where("msg_index < 20").select("upload_id", "msg_index", F.to_json(F.struct("msg_id", "sender", "timestamp", "content", F.col("msg_type").alias("type"), "reply_to_id")).alias("message"))),
@@ -200,7 +226,7 @@ QUERIES: dict[str, Query] = {
     "A42_participant_order": on_messages(stats.participant_order),
     "A43_entities": on_messages(entities.aggregate),
     "A44_language_stats": on_messages(language.stats),
-    "A46_confidence": lambda s, d: search.confidence(search.nearest(fixtures.chunks_from_embeddings(s, d), asked(fixtures.chunks_from_embeddings(s, d)).withColumn("query", F.col("query")), 5).where("vec_id <> query_id")),
+    "A46_confidence": lambda s, d: search.confidence(search.nearest(fixtures.chunks_from_embeddings(s, d), asked(fixtures.chunks_from_embeddings(s, d)), 5).where("vec_id <> query_id")),
     "A47_wide_timeline": on_messages(wide_timeline),
     "A48_dominant_sender": on_messages(words.dominant_sender),
     "A48_week_grid": on_messages(week_grid),

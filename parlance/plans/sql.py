@@ -258,3 +258,10 @@ add("X26_cosine", f"SELECT a.vec_id, {COS.format('a.embedding', 'b.embedding')}
 messages("X28_response_gauge", "SELECT upload_id, round(greatest(0.05, 1 - log10(1 + greatest(0, least(60, x))) / log10(61)), 6) AS fill FROM (SELECT up.upload_id, round(quantile_cont(minutes, 0.5), 2) AS x FROM up LEFT JOIN g USING (upload_id) GROUP BY 1)", DISTINCT_UPLOADS, GAPS)
 add("X29_progress", "SELECT id, status, CASE status WHEN 'pending' THEN 5 WHEN 'parsing' THEN 25 WHEN 'nlp_processing' THEN 55 WHEN 'embedding' THEN 85 ELSE 100 END AS percent, status IN ('nlp_processing', 'embedding', 'done') AS stats_ready, status = 'done' AS search_ready FROM u", UPLOADS_SQL)
 messages("J15_nearest_peak_day", """SELECT pk.upload_id, pk.bucket AS peak, arg_min(d.day, (abs(d.day - pk.bucket), d.day)) AS day FROM pk JOIN (SELECT DISTINCT upload_id, "timestamp"::DATE AS day FROM m) d USING (upload_id) WHERE kind = 'peak' GROUP BY 1, 2""", *PEAKS)
+
+SAID = "sd AS (SELECT *, (row_number() OVER (PARTITION BY upload_id ORDER BY msg_index) - 1)::INT AS rn FROM m WHERE content <> '')"
+for name in ("S04_whatsapp", "S06_instagram", "S07_facebook", "S08_delimited"):
+    messages(name, """SELECT upload_id, rn AS msg_index, sender, "timestamp", content, 'text' AS msg_type, NULL::VARCHAR AS reply_to_id FROM sd""", SAID)
+messages("S05_telegram", """SELECT a.upload_id, a.rn AS msg_index, a.sender, a."timestamp", a.content, 'text' AS msg_type, 'msg_' || b.rn AS reply_to_id FROM sd a LEFT JOIN sd b ON a.upload_id = b.upload_id AND a.reply_to_id = b.msg_id""", SAID)
+add("S02_detect", """SELECT 'chat_' || i || CASE WHEN p = 'whatsapp' THEN '.txt' WHEN p = 'csv' THEN '.csv' ELSE '.json' END AS file, p AS written_as, p AS platform FROM (SELECT DISTINCT user_id % 10 AS i FROM events), (SELECT unnest(['whatsapp', 'telegram', 'instagram', 'facebook', 'csv']) AS p)""", "one AS (SELECT 1)")
+messages("U07_translated", "SELECT upload_id, msg_index, content AS content_english, false AS was_translated FROM m")
