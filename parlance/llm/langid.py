@@ -74,26 +74,34 @@ def fit(samples: dict[str, list[str]]) -> Filters:
     return Filters(languages, slots, np.array(false))
 
 
+#: Bits of a counter: a text's n-grams are fewer.
+BITS = 40
+
+
 class Scorer:
+    """Counts of n-grams, those of all languages in one integer: a field for the n-grams, then one for each language."""
+
     def __init__(self, filters: Filters):
         self.f = filters
-        self.bits = np.uint64(1) << np.arange(len(filters.languages), dtype=np.uint64)
-        self.word = TwoGenerations(self._word, 150_000)
+        self.gram = TwoGenerations(self._gram, 300_000)
+        self.word = TwoGenerations(self._word, 200_000)
+
+    def _gram(self, gram: str) -> int:
+        mask = int(self.f.masks([gram])[0])
+        return 1 + sum(1 << (BITS * (k + 1)) for k in range(len(self.f.languages)) if mask >> k & 1)
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Of a stretch without white space: its n-grams, then how many of them each language holds."""
-        grams = [g for w in _WORD.findall(word.lower()) for g in _grams(w)]
-        if not grams:
-            return (0,) * (len(self.bits) + 1)
-        hits = (self.f.masks(grams)[:, None] & self.bits != 0).sum(axis=0)
-        return (len(grams), *hits.tolist())
+    def _word(self, word: str) -> int:
+        """Of a stretch without white space: its n-grams, and how many of them each language holds."""
+        return sum([self.gram[g] for w in _WORD.findall(word.lower()) for g in _grams(w)])
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        rows = list(map(self.word.__getitem__, (text or "").split()))
-        total = np.array(rows, np.int64).sum(axis=0) if rows else [0]
-        if not total[0] or not len(self.bits):
+        counts = sum(map(self.word.__getitem__, (text or "").split()))
+        n, field = len(self.f.languages), (1 << BITS) - 1
+        total = counts & field
+        if not total or not n:
             return "und", 0.0
-        share = (total[1:] / total[0] - self.f.false) / (1 - self.f.false)
+        hits = np.array([counts >> (BITS * (k + 1)) & field for k in range(n)], float)
+        share = (hits / total - self.f.false) / (1 - self.f.false)
         power = np.maximum(share, 1e-9) ** 8
         best = int(np.argmax(share))
         return self.f.languages[best], float(power[best] / power.sum())
