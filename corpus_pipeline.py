@@ -14,7 +14,7 @@ from parlance.llm import bpe, langid, mix, neardup, quality
 from parlance.llm.common import materialise
 
 #: Language scores below this go; texts without a letter score 0.
-LEAST_LANGUAGE = 0.5
+LEAST_LANGUAGE = 0.3
 
 
 def _free(name: str, taken: list[str]) -> str:

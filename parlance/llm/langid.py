@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import TwoGenerations, bounded_sample, crc_mod, scored, table
+from parlance.llm.common import TwoGenerations, crc_mod, scored, table
 
 #: Sample texts of a language, and the longest text (in characters) that is used to learn from.
 SAMPLE, LONGEST = 400, 20_000
@@ -111,17 +112,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Filters from at most sample texts of each language, chosen by a hash of their ids among rows whose crc32 remainder by 4 isn't 2."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("id"), 4) != 2) & (F.length("text") <= LONGEST))
-    languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    chosen = {x: bounded_sample(rows.where(F.col("lang") == x).select("id"), "id", sample) for x in languages}
-    ids = [(x, r[0]) for x, df in chosen.items() for r in df.collect()]
-    if not ids:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return fit({})
-    picked = docs.sparkSession.createDataFrame([(str(i), x) for x, i in ids], "_id string, _lang string").distinct()
-    texts = rows.join(F.broadcast(picked), F.col("id").cast("string") == F.col("_id")).where("lang = _lang")
+    # of each language, the ids whose hash is below its share: one more pass over the texts for all of them
+    slot = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 53))
+    share = {x: 1 << 53 if n <= sample else int(0.95 * sample / n * (1 << 53)) for x, n in counts.items()}
+    chosen = reduce(lambda c, d: c | d, [(F.col("lang") == x) & (slot < t) for x, t in share.items()])
     out: dict[str, list[str]] = {}
-    for r in texts.select("id", "lang", "text").limit(4 * sample * len(languages)).collect():
+    for r in rows.where(chosen).limit(2 * sample * len(counts)).collect():
         out.setdefault(r["lang"], []).append((r["id"], r["text"]))
-    return fit({x: [t for _, t in sorted(v)] for x, v in out.items()})
+    return fit({x: [t for _, t in sorted(v, key=lambda r: (str(r[0]), r[1]))] for x, v in out.items()})
 
 
 def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), least: float | None = None) -> DataFrame:
