@@ -92,9 +92,9 @@ class WordBpe:
             self.left[c], self.right[c] = vocab[a], vocab[b]
             self.merged[vocab[a], vocab[b]] = c
         self.whole = {inner(s): (i,) for s, i in vocab.items() if s.endswith(self.suffix)}
-        self.compatible = TwoGenerations(self._compatible, 250_000)
-        self.piece = TwoGenerations(self.encode_piece, 150_000)
-        self.words = TwoGenerations(self._word, 250_000)
+        self.compatible = TwoGenerations(self._compatible, 120_000)
+        self.piece = TwoGenerations(self.encode_piece, 90_000)
+        self.words = TwoGenerations(self._word, 140_000)
         self.library = None
         self.path = path
 

@@ -84,8 +84,8 @@ class Scorer:
 
     def __init__(self, filters: Filters):
         self.f = filters
-        self.gram = TwoGenerations(self._gram, 300_000)
-        self.word = TwoGenerations(self._word, 200_000)
+        self.gram = TwoGenerations(self._gram, 150_000)
+        self.word = TwoGenerations(self._word, 120_000)
 
     def _gram(self, gram: str) -> int:
         mask = int(self.f.masks([gram])[0])
