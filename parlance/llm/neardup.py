@@ -32,8 +32,8 @@ from parlance.llm.components import components
 REGISTERS, BANDS = 96, 24
 #: Least share of equal registers with which a pair is compared on full sets.
 ESTIMATE = 0.62
-#: Classes of a bucket that one block holds.
-BLOCK = 512
+#: Shingles (8 bytes each) of a bucket that one block holds, more or less.
+BLOCK = 2_000_000
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,14 +143,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     # equal sets give equal registers and bands, so any row's will do
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    reps = sketch.select("doc_id", "digest", "registers", "bands").join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
-    entries = reps.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("band", "bucket"))
+    reps = sketch.select("doc_id", "digest", "n_shingles", "registers", "bands").join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
+    entries = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     least = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
     buckets = materialise(entries.join(least, "bucket"))
     members = buckets.select("node").distinct()
     wanted = docs.withColumn("_node", docs[id_col].cast("bigint")).join(members.withColumnRenamed("node", "_node"), "_node", "left_semi")
     # a repeated id has one set here
-    sets = materialise(_sets(wanted, width, id_col, text_col).groupBy("node").agg(F.min("shingles").alias("shingles")))
+    sets = materialise(_sets(wanted, width, id_col, text_col).groupBy("node").agg(F.min("shingles").alias("shingles")).join(reps.select(F.col("doc_id").alias("node"), "registers"), "node"))
 
     pairs = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -158,13 +158,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     first = materialise(components(links))
 
     named = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.sum("n_shingles").alias("shingles")).where("lo <> hi")
     # a bucket of two has been compared already
-    open_ = open_.where("k > 2").select("bucket", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    open_ = open_.where("k > 2").select("bucket", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
     cells = named.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "component", (F.col("own") > F.col("other")).alias("second"))
-    cells = cells.join(sets, "node").join(reps.select(F.col("doc_id").alias("node"), "registers"), "node")
+    cells = cells.join(sets, "node")
     cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = _verify_cells(cells, percent)
     linked = components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
