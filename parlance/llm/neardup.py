@@ -87,12 +87,14 @@ def _verify_pairs(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links across components among a cell's rows (node, component, block is the second, registers, shingles), at most a forest's worth."""
+    """Links across components among a cell's rows (node, component, block is the second, registers, shingles, bands), at most a forest's worth."""
     label = [r[1] for r in rows]
     g = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
     size = np.array([len(r[4]) // 8 for r in rows])
     second = np.array([r[2] for r in rows])
     sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    # whole hashes, as buckets are made of them: the registers' bytes agree more often
+    bands = np.stack([r[5] for r in rows])
     out = []
     for i in range(len(rows) - 1):
         rest = np.arange(i + 1, len(rows))
@@ -102,10 +104,8 @@ def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> li
         rest = rest[near]
         if not len(rest):
             continue
-        equal = g[rest] == g[i]
-        share = equal.mean(axis=1)
-        by_band = equal.reshape(len(rest), BANDS, -1).all(axis=2)
-        first = by_band.argmax(axis=1)
+        share = (g[rest] == g[i]).mean(axis=1)
+        first = (bands[rest] == bands[i]).argmax(axis=1)
         for k in np.flatnonzero((share >= ESTIMATE) & (first == band)):
             j = rest[k]
             if label[i] != label[j] and _similar(sets[i], sets[j], percent):
@@ -116,7 +116,7 @@ def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> li
 
 
 def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
-    """Rows sorted by cell: bucket, i, j, band, node, component, is_second, registers, shingles."""
+    """Rows sorted by cell: bucket, i, j, band, node, component, is_second, registers, shingles, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, rows):
@@ -125,7 +125,8 @@ def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
 
         key, rows = None, []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            bands = batch.column(9).flatten().to_numpy().reshape(-1, BANDS)
+            for r in zip(*(c.to_pylist() for c in batch.columns[:9]), bands):
                 if r[:4] != key:
                     if len(rows) > 1:
                         yield done(key, rows)
@@ -134,7 +135,7 @@ def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
         if len(rows) > 1:
             yield done(key, rows)
 
-    return cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles").mapInArrow(run, "a bigint, b bigint")
+    return cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles", "bands").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +151,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = buckets.select("node").distinct()
     wanted = docs.withColumn("_node", docs[id_col].cast("bigint")).join(members.withColumnRenamed("node", "_node"), "_node", "left_semi")
     # a repeated id has one set here
-    sets = materialise(_sets(wanted, width, id_col, text_col).groupBy("node").agg(F.min("shingles").alias("shingles")).join(reps.select(F.col("doc_id").alias("node"), "registers"), "node"))
+    sets = materialise(_sets(wanted, width, id_col, text_col).groupBy("node").agg(F.min("shingles").alias("shingles")).join(reps.select(F.col("doc_id").alias("node"), "registers", "bands"), "node"))
 
     pairs = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")

@@ -90,6 +90,20 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch):
         assert all(got[i]["kept"] == (label[i] == i) for i in got)
 
 
+def test_pairs_whose_bytes_agree_in_an_earlier_band_are_compared(spark):
+    rng = random.Random(580)  # the pair's first band by bytes is 4, by whole hashes 6
+    base = rng.sample(WORDS, 40)
+    spare = [w for w in WORDS if w not in base]
+    rng.shuffle(spare)
+    texts = []
+    for k in (1, 2, 3, 4):  # least rows of the pair's buckets, linked with neither
+        r = random.Random(580_000 + k)
+        texts.append(" ".join(r.sample(base[:36], 34) + r.sample(spare[4:], 8)))
+    texts += [" ".join(base), " ".join(base[:36] + spare[:4])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), width=1).collect()}
+    assert [got[i] for i in range(6)] == brute_components(texts, 1)[1] == [0, 1, 2, 3, 4, 4]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b c d e f", "x"])
