@@ -1,8 +1,8 @@
 """Main text of web pages, with templates of their sites removed.
 
 A page is read as a tree in one pass over its tags. Every block-level element outside the main content gets a hash of
-its tag, class, id, text and children; Spark counts on how many pages of a host each hash occurs, and subtrees that
-recur on many of a host's pages are deleted there. What stays is the content of `article` elements (else of `main`,
+its tag, class, id, text and children; Spark counts with how many different main texts of a host each hash occurs, and
+subtrees that recur with many of them are deleted there, unless they hold main content. So copies of a page count once. What stays is the content of `article` elements (else of `main`,
 else of the body) without navigation, headers, footers, asides, forms, scripts, styles, adverts, notices and comments,
 which tags, roles, classes and ids tell. Inside an article nothing is deleted for recurring: copies of one article on a
 host would count as its template.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import materialise, table
 
-#: A subtree is a template where it is on so many pages of a host, and on such a share of them.
+#: A subtree is a template where it is with so many different main texts of a host, and with such a share of them.
 LEAST_PAGES, LEAST_SHARE = 10, 0.3
 #: Template hashes (8 bytes each) up to which they are broadcast; beyond, pages and templates meet by host, salted.
 BROADCAST_HASHES, SALTS = 500_000, 32
@@ -51,7 +51,7 @@ class _Element:
 
 
 def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[list[str], set[int]]:
-    """The blocks of the main text, and the hashes of the block-level subtrees outside the main content."""
+    """The blocks of the main text, and the hashes of the block-level subtrees that neither are in the main content nor hold some."""
     page = page or ""
     # (block, rank of the content that holds it: 2 article, 1 main, 0 other)
     blocks: list[tuple[str, int]] = []
@@ -78,7 +78,7 @@ def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[li
                 continue
             h = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, e.name, *e.parts]).encode("utf-8", "surrogatepass")) >> 1
             stack[_block(stack)].parts.append(f"{h:x}")
-            if not e.main and e.tag not in ("html", "body", "head"):
+            if not e.main and e.tag not in ("html", "body", "head") and not any(rank for _, rank in blocks[e.start :]):
                 hashes.add(h)
                 if h in templates:
                     del blocks[e.start :]
@@ -172,16 +172,20 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and hashes: the subtrees that recur on many pages of the host. At most 1 / LEAST_SHARE times a page's subtrees for a host."""
+    """host and hashes: the subtrees that recur with many different main texts of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [sorted(parse(x.as_py())[1]) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.list_(pa.int64()))], names=["host", "hashes"])
-
-    rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col]).where("host is not null").mapInArrow(run, "host string, hashes array<bigint>")
+            contents, each = [], []
+            for x in batch.column(1):
+                blocks, hashes = parse(x.as_py())
+                contents.append(xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass")) >> 1)
+                each.append(sorted(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(each, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
+
+    rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col]).where("host is not null").mapInArrow(run, "host string, content bigint, hashes array<bigint>")
     # hash 0 stands for the page itself
-    counts = rows.select("host", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    counts = rows.select("host", "content", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= LEAST_PAGES)
     total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     return counts.where("hash <> 0").join(total, "host").where(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 

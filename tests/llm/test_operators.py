@@ -350,3 +350,12 @@ def test_anisotropic_codes_lower_the_weighted_loss():
         return float(((r**2).sum(axis=(1, 2)) + (book.weight - 1) * along).sum())
 
     assert book.weight > 2 and loss(book.codes(x, 2)) < loss(book.codes(x, 0))
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, "http://w.example/", "<body><div class=page><article><p>the same copy</p></article></div></body>", None) for i in range(20)]
+    rows += [(100 + i, "http://p.example/", "<body><div><p>the same plain copy</p></div></body>", None) for i in range(20)]
+    # a wrapper with many different texts elsewhere on the page
+    rows += [(200 + i, "http://v.example/", f"<body><div class=page><article><p>the same copy</p></article></div><article><p>text {i}</p></article></body>", None) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == "the same copy" and got[100 + i] == "the same plain copy" and got[200 + i] == f"the same copy\ntext {i}" for i in range(20))
