@@ -1,11 +1,11 @@
 """Main text of web pages, with templates of their sites removed.
 
-A page is read as a tree in one pass over its tags. Every block-level element outside the main content gets a hash of
-its tag, class, id, text and children; Spark counts with how many different main texts of a host each hash occurs, and
+A page is read as a tree in one pass over its tags. Every block-level element gets a hash of its tag, class, id, text and children; Spark counts with how many different main texts of a host each hash occurs, and
 subtrees that recur with many of them are deleted there, unless they hold main content. So copies of a page count once. What stays is the content of `article` elements (else of `main`,
 else of the body) without navigation, headers, footers, asides, forms, scripts, styles, adverts, notices and comments,
-which tags, roles, classes and ids tell. Inside an article nothing is deleted for recurring: copies of one article on a
-host would count as its template.
+which tags, roles, classes and ids tell. Inside the main content recurring subtrees are deleted too, but for headings
+and single items and rows, and only where at least half of the page's main text stays: edited copies of one article
+share most of their text, which is no template.
 
 Null and empty pages give an empty text. Pages without a host have no template. Rows stay one for one.
 """
@@ -39,6 +39,8 @@ _JUNK = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|nav|navbar|navigation|menus?|sidebars?|footers?|breadcrumbs?|comments?|commentlist|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|promos?|promoted|sponsor\w*|pagination|pager|skip|toolbar|masthead)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Elements of the main content that aren't deleted by themselves: whole articles, headings, items of lists and tables.
+_KEPT = frozenset("article main h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption".split())
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-]|\d)", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -51,11 +53,13 @@ class _Element:
 
 
 def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[list[str], set[int]]:
-    """The blocks of the main text, and the hashes of the block-level subtrees that neither are in the main content nor hold some."""
+    """The blocks of the main text, and the hashes of the block-level subtrees that can be templates."""
     page = page or ""
     # (block, rank of the content that holds it: 2 article, 1 main, 0 other)
     blocks: list[tuple[str, int]] = []
     hashes: set[int] = set()
+    # places in blocks of templates inside the main content
+    inside: set[int] = set()
     stack = [_Element("", "", False, 0, 0)]
     text: list[str] = []
 
@@ -78,7 +82,12 @@ def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[li
                 continue
             h = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, e.name, *e.parts]).encode("utf-8", "surrogatepass")) >> 1
             stack[_block(stack)].parts.append(f"{h:x}")
-            if not e.main and e.tag not in ("html", "body", "head") and not any(rank for _, rank in blocks[e.start :]):
+            if e.main:
+                if e.tag not in _KEPT and stack[-1].main == e.main and not e.drop:
+                    hashes.add(h)
+                    if h in templates:
+                        inside.update(range(e.start, len(blocks)))
+            elif e.tag not in ("html", "body", "head") and not any(rank for _, rank in blocks[e.start :]):
                 hashes.add(h)
                 if h in templates:
                     del blocks[e.start :]
@@ -155,7 +164,10 @@ def parse(page: str | None, templates: frozenset[int] = frozenset()) -> tuple[li
         stack.append(_Element(tag, name, drop, main, len(blocks)))
     close(1)
     most = max((rank for _, rank in blocks), default=0)
-    return [b for b, rank in blocks if rank >= most], hashes
+    found = [(len(b), k in inside, b) for k, (b, rank) in enumerate(blocks) if rank >= most]
+    if 2 * sum(n for n, gone, _ in found if gone) > sum(n for n, _, _ in found):
+        return [b for _, _, b in found], hashes
+    return [b for _, gone, b in found if not gone], hashes
 
 
 def _block(stack: list[_Element]) -> int:

@@ -359,3 +359,16 @@ def test_copies_of_a_page_are_no_template(spark):
     rows += [(200 + i, "http://v.example/", f"<body><div class=page><article><p>the same copy</p></article></div><article><p>text {i}</p></article></body>", None) for i in range(20)]
     got = {r["page_id"]: r["text"] for r in pagetext.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert all(got[i] == "the same copy" and got[100 + i] == "the same plain copy" and got[200 + i] == f"the same copy\ntext {i}" for i in range(20))
+
+
+def test_templates_inside_articles_go(spark):
+    box = "<div><h3>Join us</h3><p>every week</p></div>"
+    page = lambda i, x: f"<body><article><h2>Summary</h2><p>own text of page {i}, which is long enough</p>{x}<ul><li>yes</li><li>{i}</li></ul></article></body>"
+    rows = [(i, "http://b.example/", page(i, box), None) for i in range(20)] + [(100 + i, "http://c.example/", page(0, box), None) for i in range(20)]
+    # edited copies: most of their text recurs
+    rows += [(200 + i, "http://e.example/", f"<body><article><p>the first long paragraph</p><p>the second long paragraph</p><p>edit {i}</p></article></body>", None) for i in range(20)]
+    got = {r["page_id"]: r["text"].split("\n") for r in pagetext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(20):
+        assert got[i] == ["Summary", f"own text of page {i}, which is long enough", "yes", str(i)]
+        assert got[100 + i] == ["Summary", "own text of page 0, which is long enough", "Join us", "every week", "yes", "0"]
+        assert got[200 + i] == ["the first long paragraph", "the second long paragraph", f"edit {i}"]
