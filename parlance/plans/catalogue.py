@@ -145,7 +145,7 @@ QUERIES: dict[str, Query] = {
     "S06_instagram": exported.round_trip("instagram"),
     "S07_facebook": exported.round_trip("facebook"),
     "S08_delimited": exported.round_trip("csv"),
-    "K07_documents": on_messages(lambda m: ingest.document(m, 5)),
+    "K07_documents": on_messages(ingest.document),
     "U01_sentiment_emotion": on_messages(modelled),
     "U03_keywords": on_messages(enrich.keywords),
     "U04_topics": on_messages(enrich.topics),
@@ -155,7 +155,7 @@ QUERIES: dict[str, Query] = {
     "X09_clean": on_messages(cleaned),
     "S09_ordered_scan": on_messages(scan),
     "S12_stride_sample": on_messages(lambda m: love.stride_sample(m, 200).select("upload_id", "msg_index")),
-    "S13_document_export": on_messages(lambda m: m.where("msg_index < 20").select("upload_id", "msg_index", F.to_json(F.struct("msg_id", "sender", "timestamp", "content", F.col("msg_type").alias("type"), "reply_to_id")).alias("message"))),
+    "S13_document_export": on_messages(lambda m: m.select("upload_id", "msg_index", F.to_json(F.struct("msg_id", "sender", "timestamp", "content", F.col("msg_type").alias("type"), "reply_to_id")).alias("message"))),
     "S14_upload_page": lambda s, d: uploads.page(fixtures.uploads_from_conversations(s, d), 20, 10).select("id", "filename", "total_messages", "created_at", "total"),
     "F13_model_input": on_messages(nlp_ready),
     "F20_keyword_rich": on_messages(lambda m: m.select("upload_id", "msg_index", search.keyword_rich(F.col("content"), 3).alias("rich"))),
