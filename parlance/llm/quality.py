@@ -142,19 +142,25 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Machine:
     return m
 
 
+def _forget() -> None:
+    _buckets.forget()
+
+
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "quality_score", least: float | None = None) -> DataFrame:
     """keep's columns (default: the id) and the score of every row, or of those of at least least; in one pass without a shuffle.
 
     out names the score; it must not be one of keep.
     """
-    return scored(docs, model, lambda m: m.score, text_col, keep or [id_col], {out: "double"}, lambda got: [pa.array(got, pa.float64())], None if least is None else lambda got: got >= least)
+    return scored("quality", docs, model, lambda m: m.score, text_col, keep or [id_col], {out: "double"}, lambda got: [pa.array(got, pa.float64())], None if least is None else lambda got: got >= least, _forget)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
+    """The machine fitted on a bounded sample of the labelled documents whose crc32 remainder by 4 isn't 2."""
     return fit(labelled.sample(docs, labels, "quality", MOD, HELD_OUT))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), MOD) == HELD_OUT).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))

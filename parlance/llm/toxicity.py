@@ -5,6 +5,8 @@ punctuation and obfuscation (letters written as digits or signs, letters repeate
 learned: words and beginnings of words that labelled toxic texts hold far more often than others do. A sample of
 labelled rows is cut in three: one part gives the lexicon, one the trees, one the calibration.
 
+To the isotonic value goes a hundredth of the trees' own probability, so that texts of one step still differ in score.
+
 A null text counts as empty and is scored like any other. Words are memoised within a worker, in a bounded table.
 """
 
@@ -13,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import labelled
 from parlance.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
-from parlance.llm.common import TwoGenerations, crc_mod, shared_model, table, worker_model
+from parlance.llm.common import TwoGenerations, crc_mod, scored, table
 
 MOD, HELD_OUT = 5, 0
 #: Words of the second person in English, German, French and Spanish.
@@ -129,21 +130,18 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     return Model(lexicon, trees, fit_isotonic(trees(x[cut:]), y[cut:]))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and score of every row, in one pass without a shuffle."""
-    shared = shared_model(docs.sparkSession, model)  # the lexicon of a bounded sample, and the trees
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """keep's columns (default: the id) and the score of every row, in one pass without a shuffle. out names the score; it must not be one of keep."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = worker_model(shared, lambda m: (m, Words(m.lexicon)))
-        for batch in batches:
-            got = m.score(words, [t.as_py() for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["id", "score"])
+    def make(m: Model):
+        words = Words(m.lexicon)
+        return lambda texts: m.score(words, texts)
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return scored("toxicity", docs, model, make, text_col, keep or [id_col], {out: "double"}, lambda got: [pa.array(got, pa.float64())])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
     docs = table(spark, sf_dir, "documents")
     model = fit(labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", MOD, HELD_OUT))
     return score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), MOD) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
