@@ -2,37 +2,41 @@
 
 Learning keeps, for each language, the n-grams of words (with their ends marked) that enough of the language's sample
 texts hold. The filters of all languages share their slots: slot i of the table is a bitmask of the languages whose
-filter has bit i set, so the AND of an n-gram's few slots gives all the languages that contain it at once. A text
-counts, for each language, the n-grams that its mask holds; from each count goes the share of false positives that the
-filter's fill gives, and the language with the largest corrected share of all n-grams wins. The score is that share's
-part of the sum over languages, sharpened; ties go to the language that sorts first.
-
-A null text, or one without a letter, is `und` with score 0. Documents without a language teach nothing. Words are
-memoised within a worker, in a bounded table, so whole texts cost one look-up a word.
+filter has bit i set (as many 64-bit words as the languages need), so the AND of an n-gram's few slots gives all the
+languages that contain it at once. A text counts, for each language, the n-grams that its mask holds; from each count
+goes the share of false positives that the filter's fill gives, and the language with the largest corrected share of
+all n-grams wins; ties go to the language that sorts first. The score is that share's part of the sum over languages,
+sharpened. The share itself, between 0 and 1, says how much of the text is in the language at all.
+
+A null text, or one without a letter, is `und` with score and share 0, and so is every text where nothing was learned.
+Documents without a language or a text teach nothing. Words are memoised within a worker, in a bounded table, so whole
+texts cost one look-up a word. The n-grams of sample texts are counted on the workers; the driver gets only those that
+a language keeps. Languages are taken to be thousands at most.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import TwoGenerations, crc_mod, scored, table
+from parlance.llm.common import TwoGenerations, begin, crc_mod, scored, table
 
-#: Sample texts of a language, and the longest text (in characters) that is used to learn from.
-SAMPLE, LONGEST = 400, 20_000
+#: Sample texts of a language, of any length.
+SAMPLE = 400
 SIZES = (2, 3, 4)
 SLOTS, HASHES = 1 << 18, 3
 #: Share of a language's sample texts that must hold an n-gram.
 LEAST_SHARE = 0.02
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter, and the letters and marks that follow it.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _grams(word: str) -> set[str]:
@@ -40,6 +44,11 @@ def _grams(word: str) -> set[str]:
     return {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
 
 
+def text_grams(text: str) -> set[str]:
+    """The distinct n-grams of a text's words."""
+    return set().union(*map(_grams, set(_WORD.findall(text.lower()))))
+
+
 def _slots(gram: str) -> list[int]:
     h = xxhash.xxh3_128_intdigest(gram.encode("utf-8", "surrogatepass"))
     return [(h >> (32 * k)) % SLOTS for k in range(HASHES)]
@@ -48,33 +57,41 @@ def _slots(gram: str) -> list[int]:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # a mask of languages for each slot
+    slots: np.ndarray  # for each slot a mask of languages, in 64-bit words
     false: np.ndarray  # of each language, the share of false positives
 
-    def masks(self, grams: list[str]) -> np.ndarray:
-        return np.bitwise_and.reduce(self.slots[[_slots(g) for g in grams]], axis=1)
+    def masks(self, grams: list[str]) -> list[int]:
+        words = np.bitwise_and.reduce(self.slots[[_slots(g) for g in grams]], axis=1)
+        return [int.from_bytes(w.tobytes(), "little") for w in words]
 
 
-def fit(samples: dict[str, list[str]]) -> Filters:
-    """Filters of all languages from texts of each."""
-    languages = sorted(samples)
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
-    slots = np.zeros(SLOTS, np.uint64)
+def least_texts(n: int) -> float:
+    """Of n sample texts, how many must hold an n-gram."""
+    return max(2, LEAST_SHARE * n) if n > 4 else 1
+
+
+def build(kept: dict[str, list[str]]) -> Filters:
+    """Filters from the n-grams that each language keeps."""
+    languages = sorted(kept)
+    slots = np.zeros((SLOTS, max(1, -(-len(languages) // 64))), np.uint64)
     false = []
     for k, lang in enumerate(languages):
-        counts: Counter[str] = Counter()
-        texts = [set(_WORD.findall(t.lower())) for t in samples[lang]]
-        for words in texts:
-            counts.update(set().union(*map(_grams, words)) if words else ())
-        least = max(2, LEAST_SHARE * len(texts)) if len(texts) > 4 else 1
-        used = np.array([s for g, n in counts.items() if n >= least for s in _slots(g)], np.int64)
-        bit = np.uint64(1 << k)
-        slots[used] |= bit
-        false.append((np.count_nonzero(slots & bit) / SLOTS) ** HASHES)
+        used = np.array([s for g in kept[lang] for s in _slots(g)], np.int64)
+        word, bit = k // 64, np.uint64(1 << k % 64)
+        slots[used, word] |= bit
+        false.append((np.count_nonzero(slots[:, word] & bit) / SLOTS) ** HASHES)
     return Filters(languages, slots, np.array(false))
 
 
+def fit(samples: dict[str, list[str]]) -> Filters:
+    """Filters of all languages from texts of each."""
+    kept = {}
+    for lang, texts in samples.items():
+        counts = Counter(g for t in texts for g in text_grams(t))
+        kept[lang] = [g for g, n in counts.items() if n >= least_texts(len(texts))]
+    return build(kept)
+
+
 #: Bits of a counter: a text's n-grams are fewer.
 BITS = 40
 
@@ -88,58 +105,91 @@ class Scorer:
         self.word = TwoGenerations(self._word, 120_000)
 
     def _gram(self, gram: str) -> int:
-        mask = int(self.f.masks([gram])[0])
-        return 1 + sum(1 << (BITS * (k + 1)) for k in range(len(self.f.languages)) if mask >> k & 1)
+        mask, out, k = self.f.masks([gram])[0], 1, 1
+        while mask:
+            if mask & 1:
+                out |= 1 << (BITS * k)
+            mask, k = mask >> 1, k + 1
+        return out
 
     def _word(self, word: str) -> int:
         """Of a stretch without white space: its n-grams, and how many of them each language holds."""
         return sum([self.gram[g] for w in _WORD.findall(word.lower()) for g in _grams(w)])
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def shares(self, text: str | None) -> np.ndarray | None:
+        """Each language's corrected share of the text's n-grams; null where there are none."""
         counts = sum(map(self.word.__getitem__, (text or "").split()))
         n, field = len(self.f.languages), (1 << BITS) - 1
         total = counts & field
         if not total or not n:
-            return "und", 0.0
+            return None
         hits = np.array([counts >> (BITS * (k + 1)) & field for k in range(n)], float)
-        share = (hits / total - self.f.false) / (1 - self.f.false)
+        return np.clip((hits / total - self.f.false) / (1 - self.f.false), 0, 1)
+
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
+        share = self.shares(text)
+        if share is None:
+            return "und", 0.0, 0.0
         power = np.maximum(share, 1e-9) ** 8
         best = int(np.argmax(share))
-        return self.f.languages[best], float(power[best] / power.sum())
+        return self.f.languages[best], float(power[best] / power.sum()), float(share[best])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
-    """Filters from at most sample texts of each language, chosen by a hash of their ids among rows whose crc32 remainder by 4 isn't 2."""
+    """Filters from the sample texts of each language whose ids and texts hash least, among rows whose crc32 remainder by 4 isn't 2.
+
+    Rows that repeat an id and its text share a place in that order and all come in.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("id"), 4) != 2) & (F.length("text") <= LONGEST))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return fit({})
-    # of each language, the ids whose hash is below its share: one more pass over the texts for all of them
-    slot = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 53))
-    share = {x: 1 << 53 if n <= sample else int(0.95 * sample / n * (1 << 53)) for x, n in counts.items()}
-    chosen = reduce(lambda c, d: c | d, [(F.col("lang") == x) & (slot < t) for x, t in share.items()])
-    out: dict[str, list[str]] = {}
-    for r in rows.where(chosen).limit(2 * sample * len(counts)).collect():
-        out.setdefault(r["lang"], []).append((r["id"], r["text"]))
-    return fit({x: [t for _, t in sorted(v, key=lambda r: (str(r[0]), r[1]))] for x, v in out.items()})
-
-
-def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), least: float | None = None) -> DataFrame:
-    """keep's columns (default: the id), the language and its score of every row, or of those that score at least least; in one pass without a shuffle.
-
-    out names the two; neither may be one of keep. The filters are 2 MB of slots.
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("id"), 4) != 2))
+    slot = F.xxhash64(F.col("id"), F.col("text"))
+    # each task keeps the first places of each language only
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))
+    last = rows.select("lang", slot.alias("slot")).withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("slot").alias("last"))
+    chosen = rows.join(last, "lang").where(slot <= F.col("last")).select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language")
+        found: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(*(batch.column(k) for k in (0, 1))):
+                counts = found.setdefault(lang.as_py(), Counter())
+                counts.update(text_grams(text.as_py()))
+                counts[""] += 1  # the texts
+        for lang, counts in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
+
+    grams = chosen.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # a language of more than four texts keeps no n-gram of one text
+    texts = F.max(F.when(F.col("gram") == "", F.col("n"))).over(Window.partitionBy("lang"))
+    least = F.when(F.col("texts") > 4, F.greatest(F.lit(2.0), F.col("texts") * LEAST_SHARE)).otherwise(1.0)
+    kept: dict[str, list[str]] = {}
+    for r in grams.withColumn("texts", texts).where(F.col("n") >= least).select("lang", "gram").collect():
+        grams_of = kept.setdefault(r["lang"], [])
+        if r["gram"]:
+            grams_of.append(r["gram"])
+    return build(kept)
+
+
+def predict(
+    docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score"), least_share: float | None = None
+) -> DataFrame:
+    """keep's columns (default: the id), the language and its score of every row, or of those of which at least least_share is in their language; in one pass without a shuffle.
+
+    out names the two; neither may be one of keep. The filters are 2 MB of slots for each 64 languages.
     """
 
     def scorer(f: Filters):
         one = Scorer(f)
         return lambda texts: [one(t) for t in texts]
 
-    columns = lambda got: [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-    return scored(docs, filters, scorer, text_col, keep or [id_col], {out[0]: "string", out[1]: "double"}, columns, None if least is None else lambda got: np.array([x >= least for _, x in got], bool))
+    columns = lambda got: [pa.array([x for x, _, _ in got], pa.string()), pa.array([x for _, x, _ in got], pa.float64())]
+    choose = None if least_share is None else lambda got: np.array([x >= least_share for _, _, x in got], bool)
+    return scored("language", docs, filters, scorer, text_col, keep or [id_col], {out[0]: "string", out[1]: "double"}, columns, choose)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, learn(docs))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
