@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialise
+from parlance.llm.common import discard, join_hot, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Both ways round, every node's neighbours (large: the greater ones; small: the others and itself) are tied to its least one."""
+    """Both ways round, every node's neighbours (large: the greater ones; small: the others and itself) are tied to its least one.
+
+    The least neighbours of hubs are broadcast, so that a hub's links stay where they are.
+    """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    if large:
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    out = join_hot(both.where("v > u") if large else both, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        out = out.union(least.select("u", F.col("m").alias("v")))
+    out = materialise(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    discard(least)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,6 +36,10 @@ def components(links: DataFrame) -> DataFrame:
         if state == before:
             break
         # u > v in every edge, so a small star's neighbours are all that a node has
-        edges, before = materialise(_stars(_stars(edges, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False)), state
+        tied = _stars(edges, True)
+        after = _stars(tied, False)
+        discard(edges)
+        discard(tied)
+        edges, before = after, state
     # stable: every node but a component's least is tied to that one
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -25,6 +25,11 @@ _LOW = np.uint64(0xFFFFFFFF)
 _hashes = TwoGenerations(xxhash.xxh3_64_intdigest, 200_000)
 
 
+def forget() -> None:
+    """Empties the memo of words."""
+    _hashes.forget()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finishing steps of splitmix64."""
     x = (x ^ (x >> _S30)) * _M1

@@ -1,19 +1,23 @@
 """Near-duplicate groups: SuperMinHash bands, verification on full shingle sets, connected components.
 
 1. Each document gives its set's size and digest, its registers and the hashes of its bands (a map without a shuffle).
-2. Documents of equal sets form a class, which its least doc_id stands for; copies are not expanded.
+2. Documents of equal sets form a class, which the digest names; copies are not expanded.
 3. Classes that share a band meet in its bucket. Every class is compared, on full sets, with the bucket's least one;
    the links found give components. Where a bucket's classes are still in several components, all pairs across them
-   are compared: such a bucket is cut into blocks, and each pair of blocks is one task's work. Registers that rule a
-   similarity out, and pairs that meet in an earlier band too, are passed over; what is left is compared on full sets.
-   So no pair that shares a band loses its link, however large the bucket.
+   are compared: each large component of such a bucket is cut into blocks of its own, the small ones share blocks, and
+   each pair of blocks that isn't all one component is one task's work. Registers that rule a similarity out, and pairs
+   that meet in an earlier band too, are passed over; what is left is compared on full sets. So no pair that shares a
+   band loses its link, however large the bucket, but for those whose registers agree too seldom.
 4. Components of all links; the least doc_id names each.
 
 With 24 bands of 4 registers a pair of similarity 0.8 shares no band with a probability of 3e-6, and its registers
-agree in less than 0.62 with one of 5e-6.
+agree in less than 0.62 with one of 5e-6, by the formula for independent registers.
 
-Null and empty texts and texts of white space have an empty set and are linked with nothing. Ids are taken as unique:
-rows that repeat an id and its text are returned alike. Rows without an id take no part and are never kept.
+Keys that many rows share (a large bucket, its leader, a large class) are met by broadcast or spread by a salt.
+
+Null and empty texts and texts of white space have an empty set and are linked with nothing. Rows that repeat an id
+are rows of their own: with equal texts they are returned alike, with different ones each has its own text's component.
+Rows without an id take no part and are never kept. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -22,48 +26,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import minhash
-from parlance.llm.common import materialise, table
+from parlance.llm import common, minhash
+from parlance.llm.common import begin, discard, join_hot, materialise, slices, table
 from parlance.llm.components import components
 
 REGISTERS, BANDS = 96, 24
 #: Least share of equal registers with which a pair is compared on full sets.
 ESTIMATE = 0.62
-#: Shingles (8 bytes each) of a bucket that one block holds, more or less.
-BLOCK = 2_000_000
+#: Shingles (8 bytes each) and classes of a bucket that one block holds, more or less.
+BLOCK, ROWS = 2_000_000, 4_096
+
+
+def text_key(text: Column) -> Column:
+    """Tells the texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers (a byte each) and bands."""
+    """doc_id, key (of the text), n_shingles, digest of the set, registers (a byte each) and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        begin("shingles", minhash.forget)
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             n, digests, registers, bands = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = minhash.shingle_set(text.as_py(), width)
                 n.append(len(s))
                 digests.append(minhash.digest(s))
                 g = minhash.signature(s, REGISTERS)
                 registers.append((g & np.uint64(0xFF)).astype(np.uint8).tobytes())
                 bands.append(minhash.band_hashes(g, BANDS).view(np.int64) if len(s) else [])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "registers", "bands"])
+            columns = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "digest", "registers", "bands"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col]).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(docs[id_col].alias("doc_id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and the shingle set as 64-bit integers in bytes."""
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """node and the shingle set of text as 64-bit integers in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        begin("shingles", minhash.forget)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             sets = [minhash.shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col]).mapInArrow(run, "node bigint, shingles binary")
+    return docs.select("node", "text").mapInArrow(run, "node binary, shingles binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -83,12 +96,12 @@ def _verify_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
     """Links across components among a cell's rows (node, component, block is the second, registers, shingles, bands), at most a forest's worth."""
-    label = [r[1] for r in rows]
+    label = np.unique([r[1] for r in rows], return_inverse=True)[1]
     g = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
     size = np.array([len(r[4]) // 8 for r in rows])
     second = np.array([r[2] for r in rows])
@@ -97,21 +110,18 @@ def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> li
     bands = np.stack([r[5] for r in rows])
     out = []
     for i in range(len(rows) - 1):
-        rest = np.arange(i + 1, len(rows))
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if not same:
             rest = rest[second[rest] != second[i]]
-        near = 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
-        rest = rest[near]
+        rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
         if not len(rest):
             continue
         share = (g[rest] == g[i]).mean(axis=1)
         first = (bands[rest] == bands[i]).argmax(axis=1)
-        for k in np.flatnonzero((share >= ESTIMATE) & (first == band)):
-            j = rest[k]
+        for j in rest[(share >= ESTIMATE) & (first == band)]:
             if label[i] != label[j] and _similar(sets[i], sets[j], percent):
                 out.append((rows[i][0], rows[j][0]))
-                keep, drop = sorted((label[i], label[j]))
-                label = [keep if x == drop else x for x in label]
+                label[label == label[j]] = label[i]
     return out
 
 
@@ -121,7 +131,7 @@ def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key, rows):
             links = _links_in_cell(key[3], key[1] == key[2], rows, percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         key, rows = None, []
         for batch in batches:
@@ -135,50 +145,92 @@ def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
         if len(rows) > 1:
             yield done(key, rows)
 
-    return cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles", "bands").mapInArrow(run, "a bigint, b bigint")
+    return cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles", "bands").mapInArrow(run, "a binary, b binary")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b: a bucket's leader) with the sets x and y; a leader of many pairs is spread over salts, its set going to each."""
+    x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    leaders = pairs.groupBy("b").agg(F.count("*").alias("pairs"), F.ceil(F.count("*") / common.HOT).cast("int").alias("salts"))
+    if leaders.where("salts > 1").isEmpty():
+        return pairs.join(x, "a").join(y, "b")
+    salted = join_hot(pairs, leaders, "b", "pairs", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    copies = y.join(leaders, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return salted.select("a", "b", "salt").join(x, "a").join(copies.select("b", "salt", "y"), ["b", "salt"])
+
+
+def _MIXED() -> Column:
+    return F.lit("").cast("binary")
+
+
+def _cells(named: DataFrame) -> DataFrame:
+    """bucket, i, j (blocks), band, node, component and second, for every pair of blocks of a bucket that can hold two components.
+
+    named: bucket, band, node, n_shingles, component. A component of more than a block's rows has blocks of its own in a
+    bucket; the others share the bucket's mixed blocks (home ""). Rows go to the pairs of their block with all blocks of
+    another home, and with those of the mixed home if that is theirs.
+    """
+    counts = named.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    needed = lambda: F.greatest(F.ceil(F.sum("n") / ROWS), F.ceil(F.sum("shingles") / BLOCK)).cast("int")
+    large = (F.col("n") > ROWS) | (F.col("shingles") > BLOCK)
+    homes = counts.withColumn("home", F.when(large, F.col("component")).otherwise(_MIXED())).groupBy("bucket", "home").agg(needed().alias("blocks"))
+    # a bucket's homes: one for each ROWS of its rows or BLOCK of its shingles at most, and the mixed one
+    layout = homes.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("home", "blocks"))).alias("homes"))
+    rows = named.join(layout, "bucket")
+    home = lambda name: F.get(F.filter("homes", lambda h: h["home"] == name), F.lit(0))
+    rows = rows.withColumn("own", F.coalesce(home(F.col("component")), home(_MIXED())))
+    rows = rows.withColumn("block", F.struct(F.col("own.home").alias("home"), F.pmod(F.xxhash64("node"), F.col("own.blocks")).cast("int").alias("k")))
+    every = F.flatten(F.transform("homes", lambda h: F.transform(F.sequence(F.lit(0), h["blocks"] - 1), lambda k: F.struct(h["home"].alias("home"), k.alias("k")))))
+    met = F.filter(every, lambda b: (b["home"] != F.col("block.home")) | (F.col("block.home") == _MIXED()))
+    rows = rows.withColumn("other", F.explode(met))
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "node", "component", (F.col("block") > F.col("other")).alias("second"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+    """Per row: doc_id, key (of its text), n_shingles, component_id, kept."""
     sketch = materialise(sketches(docs, width, id_col, text_col))
     full = sketch.where("n_shingles > 0 and doc_id is not null")
-    # equal sets give equal registers and bands, so any row's will do
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    reps = sketch.select("doc_id", "digest", "n_shingles", "registers", "bands").join(classes.select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
-    entries = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    least = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    buckets = materialise(entries.join(least, "bucket"))
-    members = buckets.select("node").distinct()
-    wanted = docs.withColumn("_node", docs[id_col].cast("bigint")).join(members.withColumnRenamed("node", "_node"), "_node", "left_semi")
-    # a repeated id has one set here
-    sets = materialise(_sets(wanted, width, id_col, text_col).groupBy("node").agg(F.min("shingles").alias("shingles")).join(reps.select(F.col("doc_id").alias("node"), "registers", "bands"), "node"))
-
-    pairs = buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    links = materialise(_verify_pairs(pairs, percent))
+    # equal sets give equal registers and bands, so any row's will do; one row of each class stands for its text
+    classes = materialise(full.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies")))
+    least = classes.select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.key").alias("key"))
+    reps = full.withColumnRenamed("digest", "node").join(least, ["node", "doc_id", "key"]).dropDuplicates(["node"])
+    entries = materialise(reps.select("node", "doc_id", "key", "n_shingles", F.posexplode("bands").alias("band", "bucket")))
+    leads = materialise(entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1"))
+    buckets = materialise(join_hot(entries, leads, "bucket", "members", entries.count()))
+    members = buckets.select("node", F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    texts = docs.select(docs[id_col].alias("_id"), text_key(docs[text_col]).alias("_key"), docs[text_col].alias("text")).join(members, ["_id", "_key"])
+    # a class's row may be repeated
+    sets = materialise(_sets(texts, width).groupBy("node").agg(F.min("shingles").alias("shingles")).join(reps.select("node", "registers", "bands"), "node"))
+
+    pairs = materialise(buckets.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    links = materialise(_verify_pairs(_with_sets(pairs, sets), percent))
     first = materialise(components(links))
 
-    named = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k"), F.sum("n_shingles").alias("shingles")).where("lo <> hi")
+    named = buckets.select("bucket", "band", "node", "n_shingles").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
     # a bucket of two has been compared already
-    open_ = open_.where("k > 2").select("bucket", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
-    cells = named.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "component", (F.col("own") > F.col("other")).alias("second"))
-    cells = cells.join(sets, "node")
-    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    open_ = materialise(open_.where("lo <> hi AND members > 2").select("bucket", "members"))
+    named = materialise(join_hot(named, open_, "bucket", "members", entries.count()).drop("members"))
+    cells = _cells(named).join(sets, "node")
+    cells = cells.withColumns({"i": F.to_json("i"), "j": F.to_json("j")}).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = _verify_cells(cells, percent)
-    linked = components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    ids = classes.join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
+    linked = materialise(components(more.union(first.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+    for done in (entries, leads, buckets, sets, pairs, links, first, open_, named):
+        discard(done)
+
+    # a component's name is the least id of its classes
+    joined = classes.select("node", F.col("least.doc_id").alias("doc_id"), "copies").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = materialise(joined.select("component", F.col("node").alias("digest"), "copies").join(names, "component").select("digest", "copies", "component_id"))
+    out = join_hot(sketch.select("doc_id", "key", "n_shingles", "digest"), ids, "digest", "copies", sketch.count(), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    """Groups of all documents that share 80 % of their two-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("key")
 
 
 #: All pairs that share a shingle, and reachability over the links among them.
