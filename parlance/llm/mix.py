@@ -5,7 +5,7 @@ size. Within a source the documents stand in order of size (then of a digest of
 summed up, one offset is added for the whole source, and a document is emitted once for each integer that the sum
 crosses at it. In order of size, the words taken differ from the target by no more than about the largest document.
 
-The sums need no source in one task: documents are counted by source, size and salt, the counts (not the documents)
+The sums need no source in one task, and the sources need no driver: documents are counted by source, size and salt, the counts (not the documents)
 are summed up within a source, and a document's place is its bucket's start plus its place in the bucket. A salt
 splits a size that many documents share.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.common import materialise, running_sums, table
 
 #: Documents of a bucket that one task ranks.
 BUCKET = 50_000
@@ -31,26 +31,28 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
-    """Shares of all words by weight; what is over most times a source's size is shared out among the others by weight, until none is over."""
-    ordered = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-8", "surrogatepass")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(ordered)}
-    left = float(sum(n for _, n in ordered))
-    rest = sum(weight[s] for s, n in ordered)
-    out: dict[str | None, float] = {}
-    # a source with less room for its weight fills up first
-    for s, n in sorted(ordered, key=lambda x: most * x[1] / weight[x[0]]):
-        out[s] = min(most * n, left * weight[s] / rest) if n else 0.0
-        left, rest = left - out[s], rest - weight[s]
-    return out
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """Sources (_s, _n: their words) with target: shares of all words by weight; what is over most times a source's size is shared out among the others by weight, until none is over.
 
+    A source with less room for its weight fills up first. In that order all are full up to the first whose share of
+    what is left fits; from there on all get the same for their weight.
+    """
+    ranked = running_sums(sizes, [F.asc_nulls_last("_s")], {"_place": F.lit(1)})
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights)).cast("int"))
+    room = F.lit(most) * F.col("_n") / F.col("_weight")
+    rows = ranked.withColumn("_weight", weight).withColumn("_room", room)
+    rows = running_sums(rows, [F.col("_room"), F.col("_place")], {"_full": F.lit(most) * F.col("_n"), "_taken": F.col("_weight"), "_words": F.col("_n").cast("double")}, "_all")
+    level = (F.col("_all_words") - F.col("_full")) / (F.col("_all_taken") - F.col("_taken"))
+    rows = rows.withColumn("_level", level).withColumn("_fits", (F.col("_n") > 0) & (F.lit(most) * F.col("_n") >= F.col("_level") * F.col("_weight")))
+    first = rows.where("_fits").agg(F.min(F.struct("_room", "_place", "_level")).alias("_first"))  # one row
+    share = F.col("_first._level") * F.col("_weight")
+    full = F.col("_first").isNull() | (F.struct("_room", "_place") < F.struct("_first._room", "_first._place"))
+    target = F.when(F.col("_n") == 0, F.lit(0.0)).when(full, F.lit(most) * F.col("_n")).otherwise(F.least(F.lit(most) * F.col("_n"), share))
+    return rows.join(F.broadcast(first)).select("_s", "_n", target.alias("target"))
 
-def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", key_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
-    """Every document with size, source_size, target and copies; keep: further columns to carry (default: key_col only).
 
-    The table of sources goes to the driver: one row for each, their number is that of the crawl's sources.
-    """
-    spark = docs.sparkSession
+def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", key_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+    """Every document with size, source_size, target and copies; keep: further columns to carry (default: key_col only)."""
     rows = docs.select(
         docs[key_col].alias("_k"),
         docs[source_col].alias("_s"),
@@ -59,12 +61,13 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", ke
         F.md5(F.coalesce(docs[key_col].cast("string"), F.lit(""))).alias("_key"),
         *[docs[c].alias(f"_c_{c}") for c in keep or []],
     )
-    counts = rows.groupBy("_s", "_sk", "_n").agg(F.count("*").alias("_docs")).persist()
-    sizes = [(r[0], r[1], int(r[2])) for r in counts.groupBy("_s", "_sk").agg(F.sum(F.col("_n") * F.col("_docs"))).collect()]
-    want = targets([(s, n) for s, _, n in sizes], weights, most)
+    counts = materialise(rows.groupBy("_s", "_sk", "_n").agg(F.count("*").alias("_docs")))
+    sizes = counts.groupBy("_s").agg(F.sum(F.col("_n") * F.col("_docs")).alias("_n"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    goal = spark.createDataFrame([(s, k, n, round(want[s], 6), want[s] / n if n else 0.0) for s, k, n in sizes], "_s string, _sk string, source_size bigint, target double, _rate double")
-    goal = goal.select("_sk", "source_size", "target", "_rate", offset.alias("_u"))
+    goal = targets(sizes, weights, most).select(
+        F.coalesce(F.concat(F.lit("s"), "_s"), F.lit("n")).alias("_sk"), F.col("_n").alias("source_size"), F.round("target", 6).alias("target"),
+        F.when(F.col("_n") > 0, F.col("target") / F.col("_n")).otherwise(0.0).alias("_rate"), offset.alias("_u"),
+    )
     # sizes that more than BUCKET documents share; at most one for each BUCKET documents, so the table is small
     crowded = counts.where(F.col("_docs") > BUCKET).select("_sk", "_n", F.ceil(F.col("_docs") / BUCKET).cast("int").alias("_salts"))
     salted, buckets = rows.withColumn("_salt", F.lit(0)), counts.select("_sk", "_n", F.lit(0).alias("_salt"), F.col("_docs").alias("_b"))
@@ -75,7 +78,7 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", ke
         again = salted.join(F.broadcast(crowded.select("_sk", "_n")), ["_sk", "_n"], "left_semi").groupBy("_sk", "_n", "_salt").agg(F.count("*").alias("_b"))
         buckets = buckets.where(F.col("_b") <= BUCKET).unionByName(again)
     before = Window.partitionBy("_sk").orderBy("_n", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("_sk", "_n", "_salt", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_start")).join(F.broadcast(goal), "_sk")
+    buckets = buckets.select("_sk", "_n", "_salt", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_start")).join(goal, "_sk")
     placed = salted.join(buckets, ["_sk", "_n", "_salt"])
     # within a bucket equal ids tie: either order takes as many copies of them
     place = F.col("_start") + F.row_number().over(Window.partitionBy("_sk", "_n", "_salt").orderBy("_key"))
@@ -90,11 +93,13 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of docs."""
     columns = docs.columns
     out = plan(docs, keep=columns, **options)
-    named = out.toDF("_key_", "_size_", "_source_size_", "_target_", "_copies_", *columns)
-    return named.where("_copies_ > 0").withColumn("_copy_", F.explode(F.sequence(F.lit(1), F.col("_copies_").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    named = out.toDF("_key", "_size", "_source_size", "_target", "_copies", *[f"_c_{i}" for i in range(len(columns))])
+    each = named.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return each.select(*[F.col(f"_c_{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
     out = plan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
