@@ -1,13 +1,14 @@
 """Main text of web pages, with templates of their sites removed.
 
-A page is read as a tree in one pass over its tags. Every block-level element gets a hash of its tag, class, id, text and children; Spark counts with how many different main texts of a host each hash occurs, and
-subtrees that recur with many of them are deleted there, unless they hold main content. So copies of a page count once. What stays is the content of `article` elements (else of `main`,
-else of the body) without navigation, headers, footers, asides, forms, scripts, styles, adverts, notices and comments,
+A page is read as a tree in one pass over its tags. Every block-level element gets a hash of its tag, class, id, text
+and children; Spark counts with how many different main texts of a host each hash occurs, and subtrees that recur with
+many of them are deleted there, unless they hold main content. So copies of a page count once. What stays is the
+content of `article` elements (else of `main`, else of the body) without navigation, headers, footers, asides, forms, scripts, styles, adverts, notices and comments,
 which tags, roles, classes and ids tell. Inside the main content recurring subtrees are deleted too, but for headings
 and single items and rows, and only where at least half of the page's main text stays: edited copies of one article
 share most of their text, which is no template.
 
-Null and empty pages give an empty text. Pages without a host have no template. Rows stay one for one.
+Null and empty pages give an empty text; pages of any length are read whole. Pages without a host have no template. Rows stay one for one.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialise, table
+from parlance.llm.common import begin, materialise, slices, table
 
 #: A subtree is a template where it is with so many different main texts of a host, and with such a share of them.
 LEAST_PAGES, LEAST_SHARE = 10, 0.3
@@ -187,13 +188,15 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """host and hashes: the subtrees that recur with many different main texts of the host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            contents, each = [], []
-            for x in batch.column(1):
-                blocks, hashes = parse(x.as_py())
-                contents.append(xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass")) >> 1)
-                each.append(sorted(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(each, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
+        begin("pages")
+        for whole in batches:
+            for batch in slices(whole, 1):
+                contents, each = [], []
+                for x in batch.column(1):
+                    blocks, hashes = parse(x.as_py())
+                    contents.append(xxhash.xxh3_64_intdigest("\n".join(blocks).encode("utf-8", "surrogatepass")) >> 1)
+                    each.append(sorted(hashes))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(each, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
 
     rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col]).where("host is not null").mapInArrow(run, "host string, content bigint, hashes array<bigint>")
     # hash 0 stands for the page itself
@@ -214,7 +217,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         rows = rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        begin("pages")
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             texts = ["\n".join(parse(page.as_py(), frozenset(found.as_py() or ()))[0]) for page, found in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -223,4 +227,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))

@@ -161,6 +161,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, and what is read back of them."""
     folder = shared_dir(spark)
     index = write(table(spark, sf_dir, "pages"), folder)
     return read(index, folder, payloads=False)
