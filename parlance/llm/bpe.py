@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from array import array
@@ -24,13 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm.common import TwoGenerations, table
+from parlance.llm.common import TwoGenerations, begin, slices, table
 
 #: Stands for the end of a word inside the automaton; a private-use character that no byte is written as.
 END = ""
 
-#: Rows that are encoded before they are handed on.
-ROWS = 500
+#: Pairs of tokens whose compatibility is remembered.
+PAIRS = 250_000
 
 
 def byte_characters() -> list[str]:
@@ -56,7 +57,7 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern).findall
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.byte = byte_characters()
+        self.byte = {b: c for b, c in enumerate(byte_characters()) if chr(b) != c}
 
         inner = lambda s: s[: -len(self.suffix)] + END if s.endswith(self.suffix) else s
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -73,15 +74,17 @@ class WordBpe:
         for s, i in vocab.items():
             t = inner(s)
             self.length[i] = len(t)
-            self.automaton.add_word(t, (len(t) - 1, i))
+            self.automaton.add_word(t, i)
         self.automaton.make_automaton()
+        self.before = [n - 1 for n in self.length]
         # the longest entry that an entry begins with, or -1
         known = {inner(s): i for s, i in vocab.items()}
         self.prefix = [-1] * size
         for t, i in known.items():
             self.prefix[i] = next((known[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in known), -1)
         self.left, self.right = list(range(size)), list(range(size))
-        self.merged: dict[tuple[int, int], int] = {}
+        # pairs of ids as one integer
+        self.merged: dict[int, int] = {}
         last = -1
         for m in model["merges"]:
             a, b = m if isinstance(m, list) else m.split(" ")
@@ -90,32 +93,36 @@ class WordBpe:
                 raise ValueError("ids do not follow the order of the merges")
             last = c
             self.left[c], self.right[c] = vocab[a], vocab[b]
-            self.merged[vocab[a], vocab[b]] = c
+            self.merged[vocab[a] << 32 | vocab[b]] = c
         self.whole = {inner(s): (i,) for s, i in vocab.items() if s.endswith(self.suffix)}
-        self.compatible = TwoGenerations(self._compatible, 120_000)
-        self.piece = TwoGenerations(self.encode_piece, 90_000)
-        self.words = TwoGenerations(self._word, 140_000)
-        self.library = None
         self.path = path
+        self.library = None
+        self.forget()
 
-    def _compatible(self, pair: tuple[int, int]) -> bool:
+    def forget(self) -> None:
+        """Empties the memos."""
+        self.compatible: dict[int, bool] = {}
+        self.piece = TwoGenerations(self._piece, 90_000)
+        self.words = TwoGenerations(self._word, 140_000)
+
+    def _compatible(self, a: int, b: int) -> bool:
         """Whether both tokens stay as they are when they meet: no merge across their border comes before the merges that made them."""
-        a, b = pair
+        merged, left, right = self.merged.get, self.left, self.right
         limit = 1 << 60
         while True:
-            c = self.merged.get((a, b))
+            c = merged(a << 32 | b)
             if c is not None and c < limit:
                 return False
             if a > b:
-                limit, a = a, self.right[a]
+                limit, a = a, right[a]
                 if a == limit:
-                    limit, b = b + 1, self.left[b]
+                    limit, b = b + 1, left[b]
                     if b + 1 == limit:
                         return True
             else:
-                limit, b = b + 1, self.left[b]
+                limit, b = b + 1, left[b]
                 if b + 1 == limit:
-                    limit, a = a, self.right[a]
+                    limit, a = a, right[a]
                     if a == limit:
                         return True
 
@@ -126,15 +133,27 @@ class WordBpe:
             return self.whole[text]
         n = len(text)
         at = [-1] * (n + 1)
-        for end, (before, i) in self.automaton.iter(text):
-            at[end - before] = i  # longer entries end later, so the longest one stays
+        before = self.before
+        for end, i in self.automaton.iter(text):
+            at[end - before[i]] = i  # longer entries end later, so the longest one stays
         open_ = [True] * (n + 1)
         open_[n - 1] = False  # the last character takes the end mark with it
         length, prefix, compatible = self.length, self.prefix, self.compatible
+        if len(compatible) > PAIRS:
+            compatible.clear()
         tokens: list[int] = []
         pos, t, last = 0, at[0], -1
         while pos < n:
-            while t >= 0 and not (open_[pos + length[t]] and (last < 0 or compatible[last, t])):
+            while t >= 0:
+                if open_[pos + length[t]]:
+                    if last < 0:
+                        break
+                    pair = last << 32 | t
+                    fits = compatible.get(pair)
+                    if fits is None:
+                        fits = compatible[pair] = self._compatible(last, t)
+                    if fits:
+                        break
                 t = prefix[t]
             if t >= 0:
                 tokens.append(t)
@@ -147,6 +166,10 @@ class WordBpe:
                 last = tokens[-1] if tokens else -1
         return tuple(tokens)
 
+    def _in_bytes(self, piece: str) -> str:
+        """A piece in byte characters."""
+        return piece.encode().decode("latin-1").translate(self.byte)
+
     def _pieces(self, word: str) -> list[str]:
         """The pieces of a word in byte characters."""
         if word.isascii():
@@ -154,23 +177,36 @@ class WordBpe:
             if low.isalpha():
                 return [low]
             if low[:-1].isalpha():  # no apostrophe before the last character, so nothing is split off but that
-                return [low[:-1], low[-1]]
-            return self.pieces(low) if low.isprintable() else ["".join([self.byte[b] for b in p.encode()]) for p in self.pieces(low)]
+                return [low[:-1], low[-1].translate(self.byte)]
+            return self.pieces(low) if low.isprintable() else [p.translate(self.byte) for p in self.pieces(low)]
         if max(word) < "\u0250":  # letters of which every Unicode version says the same
             low = unicodedata.normalize("NFC", word).lower()
-            return ["".join([self.byte[b] for b in p.encode()]) for p in self.pieces(low)]
+            return [self._in_bytes(low)] if low.isalpha() else [self._in_bytes(p) for p in self.pieces(low)]
         if self.library is None:
             import tokenizers
 
             self.library = tokenizers.Tokenizer.from_file(self.path)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
 
-    def _word(self, word: str) -> tuple[str, int, str, tuple[int, ...]]:
-        pieces = self._pieces(word)
-        ids = self.piece[pieces[0]] if len(pieces) == 1 else tuple([i for p in pieces for i in self.piece[p]])
+    def _piece(self, piece: str) -> tuple[str, int, str, tuple[int, ...]]:
+        ids = self.encode_piece(piece)
         numbers = self.numbers
         return " ".join([numbers[i] for i in ids]), len(ids), self.decode(ids), ids
 
+    def _word(self, word: str) -> tuple[str, int, str, tuple[int, ...]]:
+        pieces = self._pieces(word)
+        if not pieces:
+            return "", 0, "", ()
+        out = self.piece[pieces[0]]
+        if len(pieces) == 2:  # most often a word and the mark after it
+            a, n, b, ids = out
+            c, k, d, more = self.piece[pieces[1]]
+            return f"{a} {c}", n + k, f"{b} {d}", ids + more
+        if len(pieces) > 2:
+            a, n, b, ids = zip(*[self.piece[p] for p in pieces])
+            return " ".join(a), sum(n), " ".join(b), tuple(itertools.chain.from_iterable(ids))
+        return out
+
     def parts(self, text: str) -> list[tuple[str, int, str, tuple[int, ...]]]:
         """Of each word of a text: its ids as text, their number, what they decode to, and the ids. Words without ids are left out."""
         if self.specials is not None and "<|" in text and self.specials.search(text):
@@ -218,12 +254,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = (
     schema = _fields(df, keep) + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", load.cache_clear)
         bpe = load(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         names = [*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in slices(whole, len(keep)):
                 n, flat, ends, a, b = [], array("i"), [0], [], []
                 for text in batch.column(len(keep)):
                     parts = bpe.parts(text.as_py() or "")
@@ -249,6 +285,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] = ("d
     keep = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("bpe", load.cache_clear)
         bpe = load(path)
         for batch in batches:
             out = [bpe.decode(x.as_py() or []) for x in batch.column(len(keep))]
@@ -264,4 +301,5 @@ def default_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Numbers of tokens and digests of tokens and decoded texts, of all documents."""
     return encode(table(spark, sf_dir, "documents"), path or default_path(), ids=False, digests=True)
