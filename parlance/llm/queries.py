@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from parlance.llm import ann, bpe, fingerprint, langid, mix, neardup, pagetext, quality, toxicity, warc
+from parlance.llm import ann, bpe, fingerprint, langid, mix, neardup, pagetext, pipeline, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
@@ -20,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": pagetext.op8_page_text,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_mix": mix.op10_mix,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.OP3_SQL,
