@@ -1,76 +1,5 @@
-"""The corpus pipeline: quality, language, near-duplicates, the mix of sources, and tokens.
+"""The corpus pipeline; its stages are in the subpackage of training-data operators."""
 
-Each stage takes the documents that the one before it kept, as a Parquet table, and returns documents with the same
-columns; the last returns their tokens. Null and empty texts are scored as empty ones; a stage never drops a document
-for a null in another column.
-"""
+from parlance.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from parlance.llm import bpe, langid, mix, neardup, quality
-from parlance.llm.common import materialise
-
-#: Language scores below this go; texts without a letter score 0.
-LEAST_LANGUAGE = 0.3
-
-
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine, fitted on the labelled ones among docs, scores as good."""
-    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, keep=docs.columns, out=_free("quality_score", docs.columns), least=quality.THRESHOLD).select(*docs.columns)
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language is told clearly."""
-    out = _free("lang_pred", docs.columns), _free("lang_score", docs.columns)
-    return langid.predict(docs, langid.learn(docs), keep=docs.columns, out=out, least=LEAST_LANGUAGE).select(*docs.columns)
-
-
-def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that shares 80 % of its five-word shingles. Rows without an id stay."""
-    found = materialise(neardup.near_duplicates(docs))
-    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    # rows that repeat an id: one of them stays
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
-
-
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix of sources takes them."""
-    return mix.mixed(docs)
-
-
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and digests of the ids and of what they decode to."""
-    return bpe.encode(docs, bpe.default_path(), keep=["doc_id", "source"], ids=True, digests=True)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("language", language_stage),
-    ("near_duplicates", neardup_stage),
-    ("mix", mix_stage),
-    ("bpe", bpe_stage),
-]
-#: The classifiers and the merges have no SQL; tests hold each stage against a plain form of it.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
