@@ -7,10 +7,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import ann, boosting, bpe, components, fingerprint, labelled, langid, minhash, mix, neardup, pagetext, quality, toxicity, warc
+from parlance.llm import ann, boosting, common, bpe, components, fingerprint, labelled, langid, minhash, mix, neardup, pagetext, quality, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
 ODD = [None, "", "  \n\t ", "one", "one two", "ÀÉ ñ ß 中文 😀😀", "a" * 5000, "word " * 3000, "don't <|endoftext|> I'LL\x1cx", "ΑΣ ΟΔΟΣ İstanbul"]
@@ -34,7 +35,9 @@ def test_tokens_are_those_of_the_library():
     lib, own = tokenizers.Tokenizer.from_file(path), bpe.load(path)
     rng = random.Random(3)
     odd = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x250), rng.randrange(0x300, 0x3000), 0x1F600 + rng.randrange(60)])) for _ in range(30)) for _ in range(400)]
-    for text in [t or "" for t in ODD] + odd + list(lib.get_vocab())[::7]:
+    pairs = [f"{chr(a)}{chr(b)}" for a in range(128) for b in range(128)] + [f"abc{chr(a)} d" for a in range(300)]
+    odd += ["".join(chr(rng.choice([rng.randrange(128), rng.randrange(97, 123), rng.randrange(0x250)])) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    for text in [t or "" for t in ODD] + odd + pairs + list(lib.get_vocab())[::7]:
         ids = lib.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
@@ -82,6 +85,8 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch):
                     w[i] = rng.choice(WORDS)
                 texts.append(" ".join(w).upper() if rng.random() < 0.3 else "\n".join(w))
     monkeypatch.setattr(neardup, "BLOCK", 500)  # so that buckets are cut into blocks
+    monkeypatch.setattr(neardup, "ROWS", 5)
+    monkeypatch.setattr(common, "HOT", 3)  # and keys are hot
     for width in (2, 5):
         sets, label = brute_components(texts, width)
         got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(spark, texts), width=width).collect()}
@@ -104,11 +109,85 @@ def test_pairs_whose_bytes_agree_in_an_earlier_band_are_compared(spark):
     assert [got[i] for i in range(6)] == brute_components(texts, 1)[1] == [0, 1, 2, 3, 4, 4]
 
 
+def test_no_link_near_the_threshold_is_lost(spark, monkeypatch):
+    """Thousands of pairs whose similarity is about 0.8, in buckets that hold several components."""
+    monkeypatch.setattr(neardup, "ROWS", 6)
+    rng = random.Random(12)
+    texts, want = [], []
+    for group in range(250):
+        pool = [f"g{group}x{i}" for i in range(60)]
+        base = pool[:45]
+        own = []
+        for _ in range(8):
+            w = set(base)
+            for x in rng.sample(base, rng.choice([3, 4, 5, 6, 7])):
+                w.discard(x)
+            w |= set(rng.sample(pool[45:], rng.choice([0, 1, 3])))
+            own.append(" ".join(sorted(w)))
+        first = len(texts)
+        want += [first + x for x in brute_components(own, 1)[1]]
+        texts += own
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), width=1).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 300
+
+
+def test_cells_hold_every_pair_across_components_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "ROWS", 4)
+    rng = random.Random(3)
+    rows = [(b, 0, f"n{i:03}".encode(), 10, f"c{min(i // 20, 3) if i < 60 else i:03}".encode()) for b in (1, 2) for i in range(70)]
+    rng.shuffle(rows)
+    cells = neardup._cells(spark.createDataFrame(rows, "bucket long, band int, node binary, n_shingles long, component binary")).collect()
+    met, held = Counter(), {}
+    for c in cells:
+        held.setdefault((c["bucket"], str(c["i"]), str(c["j"])), []).append((bytes(c["node"]), bytes(c["component"]), c["second"]))
+    for (_, i, j), members in held.items():
+        for x in members:
+            for y in members:
+                if x[0] < y[0] and x[1] != y[1] and (i == j or x[2] != y[2]):
+                    met[x[0], y[0]] += 1
+    component = {r[2]: r[4] for r in rows}
+    assert met == {(x, y): 2 for x in component for y in component if x < y and component[x] != component[y]}
+    assert max(map(len, held.values())) < 40
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 5), (2, 1), (3, 2), (None, 4), (9, 4)) for i in range(n)], "k long, i long")
+    keys = spark.createDataFrame([(1, 5, "a"), (2, 1, "b"), (3, 2, "c")], "k long, n long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_hot(rows, keys, "k", "n", 16, how).collect())) == sorted(map(str, rows.join(keys, "k", how).collect()))
+
+
+def test_running_sums_and_slices(spark):
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("x")).repartition(9)
+    got = {r["x"]: (r["s"], r["_alls"]) for r in common.running_sums(rows, [F.col("x")], {"s": F.col("x") * 2}, "_all").collect()}
+    assert got == {x: (x * (x - 1), 249_500) for x in range(500)}
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n else None for n in (3, 0, 9, 1, 1, 50, 2)])], names=["t"])
+    assert [p.num_rows for p in common.slices(batch, 0, 5)] == [2, 1, 2, 1, 1] and [p.num_rows for p in common.slices(batch.slice(2, 4), 0, 11)] == [3, 1]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b c d e f", "x"])
     twice = twice.union(twice).union(spark.createDataFrame([(None, "a b c d e f", None, None, None, None)], DOCS))
     got = sorted(neardup.near_duplicates(twice).collect(), key=str)
+    other = spark.createDataFrame([("a", "1 2 3 4 5 6"), ("a", "u v w x y z"), ("b", "1 2 3 4 5 6"), ("B", "U V w x y z")], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(other).collect()) == [("B", "B", True), ("a", "B", False), ("a", "a", True), ("b", "a", False)]
     assert len(got) == 5 and [r["component_id"] for r in got if r["doc_id"] is None] == [None] and not any(r["kept"] for r in got if r["doc_id"] is None)
 
 
@@ -141,18 +220,41 @@ def test_components_of_chains(spark):
 
 # ---- mixing ----
 
-def test_targets_fill_up_and_share_out():
-    sizes = [("a", 10), ("b", 100), ("c", 1000), (None, 0), ("d", 5)]
-    got = mix.targets(sizes)
-    assert math.isclose(sum(got.values()), 1115) and all(got[s] <= 3 * n + 1e-9 for s, n in sizes)
-    assert got["a"] == 30 and got[None] == 0 and mix.targets([]) == {}
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    """Shares given out again and again until none is above most times its source's size."""
+    ordered = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(ordered)}
+    n = dict(sizes)
+    out, open_, left = {}, set(n), float(sum(n.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        share = {s: left * weight[s] / total for s in open_}
+        over = {s for s in open_ if share[s] > most * n[s]}
+        if not over:
+            return out | share
+        for s in over:
+            out[s] = float(most * n[s])
+            left -= out[s]
+        open_ -= over
+    return out
+
+
+def test_targets_fill_up_and_share_out(spark):
+    rng = random.Random(2)
+    for sizes in ([("a", 10), ("b", 100), ("c", 1000), (None, 0), ("d", 5)], [], [("a", 0), (None, 0)], [(f"h{i}.é", rng.choice([0, 1, 7, 10**rng.randrange(9)])) for i in range(300)] + [("", 4), (None, 9)]):
+        got = {r["_s"]: r["target"] for r in mix.targets(spark.createDataFrame(sizes, "_s string, _n long")).collect()}
+        want = plain_targets(sizes)
+        assert set(got) == set(want) and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-6) for s in want)
 
 
 def test_mix_comes_near_its_targets(spark, monkeypatch):
     rng = random.Random(4)
     texts = [words(rng, rng.choice([0, 3, 20, 20, 300])) for _ in range(600)] + ODD
     d = docs(spark, texts).union(docs(spark, texts[:5]))
+    none = spark.createDataFrame([(None, "a b", "en", "a", None, "x"), (None, None, None, None, None, None)], DOCS)
+    assert mix.plan(d.union(none)).where("doc_id IS NULL").count() == 2
     whole = {(r["doc_id"], r["size"]): r for r in mix.plan(d).collect()}
+    assert mix.mixed(d.withColumn("_copies", F.lit(1))).columns == [*d.columns, "_copies"]
     taken, target = Counter(), {}
     source = {i: [None, "a", "b", "c"][i % 4] for i in range(len(texts))}
     for r in mix.plan(d).collect():
@@ -191,6 +293,40 @@ def test_toxicity_finds_new_forms_of_learned_words():
     assert len(toxicity.fit([]).score(toxicity.Words({}), ["a"])) == 1
 
 
+def plain_toxicity_features(words, text):
+    """The features, word by word."""
+    text = text or ""
+    tokens = text.split()
+    flags = [words._flags(w) for w in tokens]
+    at = lambda bit: [i for i, f in enumerate(flags) if f & bit]
+    strong, weak, you = at(toxicity.STRONG), at(toxicity.WEAK), at(toxicity.YOU)
+    gaps = [min(abs(s - y) for y in you) for s in strong] if you else []
+    n, size = max(1, len(tokens)), max(1, len(text))
+    rate = lambda ok: sum(map(ok, text)) / size
+    signs = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    return [
+        len(strong) / n, len(strong), len(weak) / n, len(weak), len(you) / n, sum(g <= toxicity.NEAR for g in gaps) / n, 1 / (1 + (min(gaps) if gaps else n)),
+        len(at(toxicity.OBFUSCATED)) / n, len(at(toxicity.CAPITALS)) / n, len(at(toxicity.SINGLE)) / n,
+        rate(lambda c: "A" <= c <= "Z"), rate(lambda c: c in "!?"), rate(lambda c: c in signs), rate(lambda c: "0" <= c <= "9"), math.log1p(len(tokens)),
+    ]
+
+
+def test_toxicity_table_is_the_plain_forms_scores(spark):
+    rng = random.Random(16)
+    m = toxicity.fit(toxic_rows(rng, 800))
+    words_ = toxicity.Words(m.lexicon)
+    texts = [t for t, _ in toxic_rows(rng, 60)] + ODD + ["YOU are a vexor!! gruml1k vexxxor a b c", "vexor " * 400 + "you"]
+    d = docs(spark, texts).withColumn("score", F.lit("clash"))
+    plain = [plain_toxicity_features(words_, t) for t in texts]
+    for t, p in zip(texts, plain):
+        assert np.allclose(words_.features(t), p)
+    want = np.clip(m.isotonic(m.trees(np.array(plain))), 0, 1)
+    got = {r["doc_id"]: r["s"] for r in toxicity.score(d, m, keep=["doc_id", "score"], out="s").collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want) and toxicity.score(d.where("false"), m, out="s").count() == 0
+    none = labelled.sample(d, spark.createDataFrame([], "doc_id long, toxic int"), "toxic", 5, 0)
+    assert none == [] and toxicity.score(d, toxicity.fit(none), out="s").count() == len(texts)
+
+
 def test_isotonic_and_trees():
     x = np.array([0.0, 1, 2, 3, 4, 5])
     f = boosting.fit_isotonic(x, np.array([0, 0, 1, 0, 1, 1.0]))
@@ -222,6 +358,10 @@ def test_samples_leave_held_out_rows_alone(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (3, 0), (None, 1), (5000, 1)], "doc_id long, quality int")
     held = {r[0] for r in d.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).select("text").collect()}
     got = labelled.sample(d, labels, "quality", 4, 2, sample=60)
+    few = labelled.sample(d, labels, "quality", 4, 2, characters=200)
+    assert few and sum(len(t) for t, _ in few) <= 200 and labelled.sample(d.where("false"), labels, "quality", 4, 2) == []
+    long = docs(spark, ["x " * 30_000] * 8)
+    assert len(labelled.sample(long.union(long), labels, "quality", 4, 2)) >= 4
     assert got and len(got) <= 60 and not held & {t for t, _ in got} and got == labelled.sample(d.repartition(7), labels, "quality", 4, 2, sample=60)
     assert quality.score(d, quality.fit([]), keep=d.columns, out="q", least=0.0).columns == [*d.columns, "q"]
 
@@ -240,7 +380,40 @@ def test_language(spark):
 
 def test_filters_know_all_that_they_learned():
     f = langid.fit({"a": ["abc abd"] * 3, "b": ["xyz"] * 3})
-    assert f.masks(["ab", "xy", "qq"]).tolist()[:2] == [1, 2] and f.masks(["qq"])[0] in (0, 1, 2, 3)
+    assert f.masks(["ab", "xy", "qq"])[:2] == [1, 2] and f.masks(["qq"])[0] in (0, 1, 2, 3)
+
+
+def test_languages_beyond_one_mask_and_texts_without_letters(spark):
+    rng = random.Random(4)
+    names = [f"l{k:02}" for k in range(70)]
+    part = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for x in names}
+    text = lambda x: " ".join(rng.choice(part[x]) + rng.choice(part[x]) for _ in range(25))
+    rows = [(70 * i + k, text(x), x, None, None, None) for i in range(8) for k, x in enumerate(names)]
+    rows += [(9000, "½ ² Ⅷ", "l00", None, None, None), (9001, "क्षमा", None, None, None, None), (9002, "x " * 60_000, "long", None, None, None)]
+    d = spark.createDataFrame(rows, DOCS)
+    f = langid.learn(d)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(d, f).collect()}
+    assert len(f.languages) >= 70 and f.slots.shape[1] == 2 and got[9000] == ("und", 0) and got[9001][0] != "und"
+    assert np.mean([got[i][0] == x for i, _, x, *_ in rows[:560]]) > 0.98
+
+
+def test_bloom_shares_are_those_of_exact_sets(spark):
+    rng = random.Random(14)
+    part = {"en": "the and ing ou th".split(), "fr": "le eau oi que ez".split(), "es": "ción ado os la es".split()}
+    text = lambda x, n: " ".join("".join(rng.choice(part[x]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(x, rng.choice([3, 30])), x, None, None, None) for i in range(240) for x in [sorted(part)[i % 3]]]
+    d = spark.createDataFrame(rows, DOCS)
+    held = {r[0] for r in d.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).select("doc_id").collect()}
+    exact = {}
+    for x in part:
+        texts = [t for i, t, lang, *_ in rows if lang == x and i not in held]
+        counts = Counter(g for t in texts for g in langid.text_grams(t))
+        exact[x] = {g for g, n in counts.items() if n >= max(2, 0.02 * len(texts))}
+    one = langid.Scorer(langid.learn(d))
+    for _, t, *_ in rows + [(0, "zzq the eauoi", None)]:
+        grams = [g for w in re.findall(r"[^\W\d_]+", t.lower()) for g in langid._grams(w)]
+        plain = np.array([sum(g in exact[x] for g in grams) / len(grams) for x in one.f.languages])
+        assert np.abs(one.shares(t) - plain).max() < 0.02 and one(t)[0] == one.f.languages[int(np.argmax(one.shares(t)))]
 
 
 # ---- fingerprints ----
@@ -273,6 +446,9 @@ def test_edited_texts_take_from_the_next_document(spark, monkeypatch):
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         assert got[i]["near_edited"] == fingerprint.likeness(*fingerprint.fingerprints([t, edited])) and (got[i]["near_edited"] == 1) >= (t == edited)
+    odd = spark.createDataFrame([(None, "b a"), (None, None), (3, "c"), (3, "c"), (5, "d d d d")], "doc_id long, text string")
+    got = fingerprint.with_next(odd).collect()  # null ids stand first, repeated ones next to each other
+    assert len(got) == 5 and sorted(str(r["doc_id"]) for r in got) == ["3", "3", "5", "None", "None"] and [r["near_next"] for r in got if r["doc_id"] == 3].count(1.0) >= 1
     assert fingerprint.with_next(docs(spark, [])).count() == 0 and fingerprint.with_next(docs(spark, ["only one here"])).first()["near_next"] == 1
 
 
@@ -312,6 +488,26 @@ def test_templates_go_and_articles_stay(spark):
     assert got[900]["text"] == "" and got[900]["n_chars"] == 0 and got[901]["text"] == "a"
 
 
+def test_odd_tables_of_pages(spark):
+    long = "<body><article>" + "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(60_000)) + "</article></body>"
+    clash = "page_id long, url string, html string, host string, hashes int, text string"
+    pages = spark.createDataFrame([(1, "http://h/", long, "x", 1, "t"), (1, "http://h/", "<p>again</p>", None, None, None), (None, None, None, None, None, None)], clash)
+    got = sorted((r["page_id"] or 0, r["n_chars"], r["url"]) for r in pagetext.extract(pages).collect())
+    assert got == [(0, 0, None), (1, 5, "http://h/"), (1, sum(len(f"paragraph {i} of a very long page") + 1 for i in range(60_000)) - 1, "http://h/")]
+    assert pagetext.extract(pages.where("false")).count() == 0
+
+
+def test_recurring_parts_go_without_telling_names(spark):
+    """Menus and footers in plain divs, which no tag, role or class tells; the plain form counts blocks of a host by page."""
+    page = lambda i: f"<body><div><p>Start</p><p>Offers</p></div><div><div><p>story {i} begins</p><p>story {i} ends</p></div></div><div><p>Imprint</p></div></body>"
+    rows = [(i, f"http://s{i % 2}.example/{i}", page(i), None) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    blocks = {i: pagetext.parse(h)[0] for i, _, h, _ in rows}
+    for i in range(40):
+        same = [blocks[j] for j in range(40) if j % 2 == i % 2]
+        assert got[i] == "\n".join(b for b in blocks[i] if sum(b in x for x in same) < 10) == f"story {i} begins\nstory {i} ends"
+
+
 # ---- nearest neighbours ----
 
 def test_search_finds_what_brute_force_finds(spark, monkeypatch):
@@ -320,8 +516,8 @@ def test_search_finds_what_brute_force_finds(spark, monkeypatch):
     x[200:500] = x[7] + rng.normal(scale=0.01, size=(300, 24))  # a dense cluster
     x[600:700] = x[9]  # equal vectors
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2020, [0.0] * 24, 0), (2040, [float("nan")] * 24, 0), (2060, [None] * 24, 0), (2080, [1.0], 0)]
-    monkeypatch.setattr(ann, "ROWS", 400)
-    monkeypatch.setattr(ann, "QUERIES", 30)
+    monkeypatch.setattr(ann, "LEAST_ROWS", 400)
+    monkeypatch.setattr(ann, "LEAST_QUERIES", 30)
     monkeypatch.setattr(ann, "RERANK", 60)
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = {}
@@ -340,9 +536,34 @@ def test_search_finds_what_brute_force_finds(spark, monkeypatch):
     assert ann.search(v.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+@pytest.mark.parametrize("magnitude", [1.0, 1e120])
+def test_search_keeps_double_precision_and_lengths_apart(spark, magnitude):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 8)) * magnitude
+    y = rng.normal(size=(40, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(v, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 300, 20)) | {1000, 1020}
+    for z, first in ((x, 0), (y, 1000)):
+        for q in range(0, len(z), 20):
+            s = (z * z[q]).sum(axis=1)
+            s[q] = -np.inf
+            best = np.lexsort((np.arange(len(s)), -s))[:20]
+            assert [(k, i - first, sc) for k, i, sc in sorted(got[first + q])] == [(k + 1, i, s[i]) for k, i in enumerate(best)]
+    assert ann.search(v.where("vec_id < 250"), F.col("vec_id") == 0, 249).count() == 249
+
+
+def test_blocks_grow_with_the_table():
+    assert [ann.blocks(n, 4096) for n in (0, 1, 4096, 4097, 1_000_000, 10**9)] == [1, 1, 1, 2, 64, -(-(10**9) // 65_536)]
+
+
 def test_anisotropic_codes_lower_the_weighted_loss():
     x = np.random.default_rng(0).normal(size=(800, 64)).astype(np.float32)
     book = ann.fit(x)
+    x = (x * book.scale).astype(np.float32)
 
     def loss(codes):
         r = book.split(x) - book.words[np.arange(book.words.shape[0]), codes]
