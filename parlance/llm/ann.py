@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import begin, bounded_sample, shared_model, table, worker_model
+from parlance.llm.common import begin, bounded_sample, in_arrow, shared_model, table, worker_model
 
 #: Rows that the codebook is fitted on.
 SAMPLE = 4096
@@ -211,7 +211,7 @@ def _search_length(rows: DataFrame, size: Row, is_query: Column, k: int, kind: s
             columns = [batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in book.packed(x)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "codes"])
 
-    coded = rows.mapInArrow(code, "vec_id bigint, v binary, codes binary")
+    coded = in_arrow(rows, code, "vec_id bigint, v binary, codes binary")
     if size["ids"] < size["n"]:
         coded = coded.groupBy("vec_id").agg(F.min(F.struct("v", "codes")).alias("s")).select("vec_id", "s.v", "s.codes")
     row_blocks, query_blocks = blocks(size["n"], LEAST_ROWS), blocks(size["q"], LEAST_QUERIES)
@@ -240,7 +240,7 @@ def _search_length(rows: DataFrame, size: Row, is_query: Column, k: int, kind: s
                 held[part].append(tuple(row))
         yield from done()
 
-    found = cells.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = in_arrow(cells, run, "query_id bigint, vec_id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

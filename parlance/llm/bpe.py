@@ -25,13 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm.common import TwoGenerations, begin, slices, table
+from parlance.llm.common import TwoGenerations, begin, in_arrow, slices, table
 
 #: Stands for the end of a word inside the automaton; a private-use character that no byte is written as.
 END = ""
 
 #: Pairs of tokens whose compatibility is remembered.
-PAIRS = 250_000
+PAIRS = 120_000
 
 
 def byte_characters() -> list[str]:
@@ -102,8 +102,8 @@ class WordBpe:
     def forget(self) -> None:
         """Empties the memos."""
         self.compatible: dict[int, bool] = {}
-        self.piece = TwoGenerations(self._piece, 90_000)
-        self.words = TwoGenerations(self._word, 140_000)
+        self.piece = TwoGenerations(self._piece, 60_000)
+        self.words = TwoGenerations(self._word, 80_000)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether both tokens stay as they are when they meet: no merge across their border comes before the merges that made them."""
@@ -277,7 +277,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = (
                 columns += [pa.array(x, pa.string()) for x in (a, b)] * digests
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(*[df[c] for c in keep], df[text_col]).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text_col]).transform(in_arrow, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -291,7 +291,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] = ("d
             out = [bpe.decode(x.as_py() or []) for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "decoded"])
 
-    return df.select(*[df[c] for c in keep], df[ids_col]).mapInArrow(run, _fields(df, keep) + ", decoded string")
+    return df.select(*[df[c] for c in keep], df[ids_col]).transform(in_arrow, run, _fields(df, keep) + ", decoded string")
 
 
 def default_path() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -56,6 +57,19 @@ def discard(df: DataFrame) -> None:
     fs.delete(at, True)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker. By rows alone, batches of long texts or large sets have no bound.
+BATCH = 4 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow over batches of at most about BATCH bytes, or fewer where the session says so."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_BYTES, None) or 1 << 40) > BATCH:
+        conf.set(_BATCH_BYTES, str(BATCH))
+    return df.mapInArrow(fn, schema)
+
+
 def crc_mod(id_col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null ids count as the text of no character."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
@@ -120,6 +134,14 @@ _models: dict = {}
 _memos: dict[str, Callable[[], None]] = {}
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
     """An operator's tasks start in this worker: the memos of the others go, as workers serve many stages. forget empties its own."""
     others = [n for n in _memos if n != operator]
@@ -130,6 +152,7 @@ def begin(operator: str, forget: Callable[[], None] | None = None) -> None:
     if others:
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _trim()
     # memos are large and hold no cycles: looking for such among them takes long
     gc.set_threshold(100_000, 20, 20)
     _memos[operator] = forget or (lambda: None)
@@ -172,7 +195,7 @@ def scored(operator: str, docs: DataFrame, model, make: Callable, text_col: str,
                 yield rows if choose is None else rows.filter(pa.array(choose(got), pa.bool_()))
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {k}" for c, k in out.items())])
-    return docs.select(*[docs[f"`{c}`"] for c in sent]).mapInArrow(run, schema)
+    return in_arrow(docs.select(*[docs[f"`{c}`"] for c in sent]), run, schema)
 
 
 #: Rows of one key beyond which it counts as hot, at least.

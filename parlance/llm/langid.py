@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import TwoGenerations, begin, crc_mod, scored, table
+from parlance.llm.common import TwoGenerations, begin, crc_mod, in_arrow, scored, table
 
 #: Sample texts of a language, of any length.
 SAMPLE = 400
@@ -101,8 +101,8 @@ class Scorer:
 
     def __init__(self, filters: Filters):
         self.f = filters
-        self.gram = TwoGenerations(self._gram, 150_000)
-        self.word = TwoGenerations(self._word, 120_000)
+        self.gram = TwoGenerations(self._gram, 100_000)
+        self.word = TwoGenerations(self._word, 80_000)
 
     def _gram(self, gram: str) -> int:
         mask, out, k = self.f.masks([gram])[0], 1, 1
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, counts in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "gram", "n"])
 
-    grams = chosen.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = in_arrow(chosen, run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # a language of more than four texts keeps no n-gram of one text
     texts = F.max(F.when(F.col("gram") == "", F.col("n"))).over(Window.partitionBy("lang"))
     least = F.when(F.col("texts") > 4, F.greatest(F.lit(2.0), F.col("texts") * LEAST_SHARE)).otherwise(1.0)

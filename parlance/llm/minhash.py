@@ -22,7 +22,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S27, _S30, _S31, _S32 = np.uint64(27), np.uint64(30), np.uint64(31), np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
 
-_hashes = TwoGenerations(xxhash.xxh3_64_intdigest, 200_000)
+_hashes = TwoGenerations(xxhash.xxh3_64_intdigest, 100_000)
 
 
 def forget() -> None:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import common, minhash
-from parlance.llm.common import begin, discard, join_hot, materialise, slices, table
+from parlance.llm.common import begin, discard, in_arrow, join_hot, materialise, slices, table
 from parlance.llm.components import components
 
 REGISTERS, BANDS = 96, 24
@@ -64,7 +64,7 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(docs[id_col].alias("doc_id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
+    return in_arrow(rows, run, f"doc_id {kind}, key bigint, n_shingles bigint, digest binary, registers binary, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -76,7 +76,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [minhash.shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, shingles binary")
+    return in_arrow(docs.select("node", "text"), run, "node binary, shingles binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -96,7 +96,7 @@ def _verify_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return in_arrow(pairs.select("a", "b", "x", "y"), run, "a binary, b binary")
 
 
 def _links_in_cell(band: int, same: bool, rows: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
@@ -145,7 +145,7 @@ def _verify_cells(cells: DataFrame, percent: int) -> DataFrame:
         if len(rows) > 1:
             yield done(key, rows)
 
-    return cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles", "bands").mapInArrow(run, "a binary, b binary")
+    return in_arrow(cells.select("bucket", "i", "j", "band", "node", "component", "second", "registers", "shingles", "bands"), run, "a binary, b binary")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:

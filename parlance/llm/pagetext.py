@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import begin, materialise, slices, table
+from parlance.llm.common import begin, in_arrow, materialise, slices, table
 
 #: A subtree is a template where it is with so many different main texts of a host, and with such a share of them.
 LEAST_PAGES, LEAST_SHARE = 10, 0.3
@@ -198,7 +198,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     each.append(sorted(hashes))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.int64()), pa.array(each, pa.list_(pa.int64()))], names=["host", "content", "hashes"])
 
-    rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col]).where("host is not null").mapInArrow(run, "host string, content bigint, hashes array<bigint>")
+    rows = pages.select(host(pages[url_col]).alias("host"), pages[html_col]).where("host is not null").transform(in_arrow, run, "host string, content bigint, hashes array<bigint>")
     # hash 0 stands for the page itself
     counts = rows.select("host", "content", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "hashes")).alias("hash")).groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= LEAST_PAGES)
     total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[id_col]
-    return rows.select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return in_arrow(rows.select("page_id", "url", "html", "hashes"), run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ THRESHOLD = 0.7
 BUCKETS, FACTORS = 1 << 14, 6
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 
-_buckets = TwoGenerations(lambda w: xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS, 150_000)
+_buckets = TwoGenerations(lambda w: xxhash.xxh3_64_intdigest(w.lower()) % BUCKETS, 100_000)
 
 
 def statistics(data: bytes, words: list[bytes], ids: np.ndarray, distinct: np.ndarray) -> list[float]:

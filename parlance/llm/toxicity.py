@@ -69,7 +69,7 @@ class Words:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.flags = TwoGenerations(self._flags, 300_000)
+        self.flags = TwoGenerations(self._flags, 150_000)
 
     def _flags(self, word: str) -> int:
         p = plain(word)

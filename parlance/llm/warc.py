@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm.common import shared_dir, table
+from parlance.llm.common import in_arrow, shared_dir, table
 
 #: Ranges that are no further apart are read at once, up to so many bytes.
 GAP, READ = 64 << 10, 8 << 20
@@ -100,7 +100,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         if out is not None:
             out.close()
 
-    rows.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    in_arrow(rows, run, INDEX).write.parquet(f"{folder}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -157,7 +157,7 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 at = stop
 
     chosen = index.select("archive", "offset", "length")
-    return chosen.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    return in_arrow(chosen.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset"), run, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
