@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.text import STOPWORDS
+from parlance.functions.text import CONTENT_STOPWORDS
 from parlance.operators import search
 
 EVIDENCE, CITED_BY_DEFAULT, CITED_WITHOUT_MODEL = 10, 3, 5
@@ -18,7 +18,7 @@ _WORD = re.compile(r"[A-Za-z][A-Za-z']+")
 
 def rephrased(query: str, complete: Callable[[str], str] | None) -> str:
     """The query in a model's words; as it is without a model, or if it has five telling words."""
-    telling = {w for w in _WORD.findall(query.lower()) if w not in STOPWORDS}
+    telling = {w for w in _WORD.findall(query.lower()) if w not in CONTENT_STOPWORDS}
     return query if complete is None or len(telling) >= 5 else complete(f"Rephrase for search: {query}").strip() or query
 
 

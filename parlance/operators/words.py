@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.functions.names import emoji_name
 from parlance.operators.stats import day, top
 
 
@@ -17,7 +18,7 @@ def token_counts(m: DataFrame) -> DataFrame:
     """upload_id, sender, word, n, at (where it comes first) and is_stop, without links."""
     each = live(m).select("upload_id", "sender", "msg_index", F.posexplode(T.tokens_without_links(F.col("content"))).alias("pos", "word"))
     rows = each.groupBy("upload_id", "sender", "word").agg(F.count("*").alias("n"), F.min(F.struct("msg_index", "pos")).alias("at"))
-    return rows.withColumn("is_stop", F.col("word").isin(*T.STOPWORDS))
+    return rows.withColumn("is_stop", F.col("word").isin(*T.CONTENT_STOPWORDS))
 
 
 def corpus_scan(m: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def frequency(m: DataFrame, k: int = 100, sender: str | None = None, exclude_sto
 def bigram_counts(m: DataFrame) -> DataFrame:
     """Adjacent pairs without a stopword."""
     each = live(m).select("upload_id", "sender", "msg_index", F.posexplode(T.bigrams(T.tokens_without_links(F.col("content")))).alias("pos", "pair"))
-    stop = lambda c: F.col(c).isin(*T.STOPWORDS)
+    stop = lambda c: F.col(c).isin(*T.CONTENT_STOPWORDS)
     each = each.where(~stop("pair.first") & ~stop("pair.second")).withColumn("bigram", F.concat_ws(" ", "pair.first", "pair.second"))
     return each.groupBy("upload_id", "sender", "bigram").agg(F.count("*").alias("n"), F.min(F.struct("msg_index", "pos")).alias("at"))
 
@@ -79,7 +80,14 @@ def emoji_frequency(m: DataFrame) -> DataFrame:
     """Uses, share and average sentiment (over occurrences) of each emoji."""
     each = live(m).select("upload_id", "sender", "sentiment_score", F.explode("emojis").alias("emoji"))
     rows = each.groupBy("upload_id", "emoji").agg(F.count("*").alias("uses"), F.round(F.avg("sentiment_score"), 4).alias("avg_sentiment"))
-    return rows.withColumn("share", F.round(F.col("uses") / F.sum("uses").over(Window.partitionBy("upload_id")), 6))
+    rows = rows.withColumn("share", F.round(F.col("uses") / F.sum("uses").over(Window.partitionBy("upload_id")), 6))
+    # names are looked up for the counted rows, not for each use
+    return rows.withColumn("unicode_name", emoji_name(F.col("emoji")))
+
+
+def emoji_by_sender(m: DataFrame) -> DataFrame:
+    """Each sender's uses of each emoji."""
+    return live(m).select("upload_id", "sender", F.explode("emojis").alias("emoji")).groupBy("upload_id", "emoji", "sender").agg(F.count("*").alias("uses"))
 
 
 def emoji_of_one_sender(m: DataFrame, least: int = 5, share: float = 0.7, k: int = 12) -> DataFrame:
@@ -111,8 +119,8 @@ def late_night_samples(m: DataFrame, k: int = 6) -> DataFrame:
     return top(rows, ["upload_id"], k, F.desc(F.abs(F.coalesce("sentiment_score", F.lit(0.0)))), F.desc("timestamp"), "msg_index").select("upload_id", "rank", "msg_id", "sentiment_score")
 
 
-def wide(df: DataFrame, keys: list[str], senders: list[str], value: str) -> DataFrame:
-    """Long rows by sender as a column for each sender."""
+def wide(df: DataFrame, keys: list[str], value: str, senders: list[str] | None = None) -> DataFrame:
+    """Long rows by sender as a column for each sender: those named, or all that there are (for tables of a few conversations)."""
     return df.groupBy(*keys).pivot("sender", senders).agg(F.first(value))
 
 
