@@ -36,7 +36,7 @@ def runs(m: DataFrame) -> DataFrame:
     out = rows.groupBy("upload_id", "island").agg(
         F.count("*").alias("messages"), F.min("rn").alias("lo"), F.max("rn").alias("hi"), F.min("timestamp").alias("start_ts"), F.max("timestamp").alias("end_ts"),
         F.min_by("msg_index", "rn").alias("first_index"), F.max_by("msg_index", "rn").alias("last_index"), F.min_by("sender", "rn").alias("trigger_sender"),
-        F.min_by("content", "rn").alias("trigger"), F.round(F.coalesce(F.min("sentiment_score"), F.lit(-0.3)), 4).alias("worst"),
+        F.min_by("content", "rn").alias("trigger"), F.min_by("msg_id", "rn").alias("trigger_id"), F.round(F.coalesce(F.min("sentiment_score"), F.lit(-0.3)), 4).alias("worst"),
     ).where(F.col("messages") >= LEAST_RUN)
     minutes = F.floor((F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))) / F.lit(60e6)).cast("bigint")
     return out.withColumns({"duration_minutes": F.greatest(minutes, F.lit(0)), "window_id": F.concat(F.lit("w_"), "first_index", F.lit("_"), "last_index")}).drop("island")
@@ -101,7 +101,7 @@ def per_month(m: DataFrame) -> DataFrame:
 def _words_in(places: DataFrame, m: DataFrame) -> DataFrame:
     rows = rolling(m).select("upload_id", "rn", "content")
     each = places.join(rows, ["upload_id", "rn"]).select("upload_id", "window_id", "rn", F.posexplode(T.tokens_without_links(F.col("content"))).alias("pos", "word"))
-    return each.where(~F.col("word").isin(*T.STOPWORDS))
+    return each.where(~F.col("word").isin(*T.CONTENT_STOPWORDS))
 
 
 def top_words(m: DataFrame, k: int = 8) -> DataFrame:
@@ -130,12 +130,22 @@ def start_times(m: DataFrame) -> DataFrame:
     return spine.join(counts, ["upload_id", "part", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def themes(m: DataFrame) -> DataFrame:
-    """The one theme given without a language model, named by the most used word of the runs."""
-    words = top(language(m).where("part = 'during'").drop("rank"), ["upload_id"], 1, F.desc("uses"), "word").select("upload_id", "word")
-    r = runs(m).groupBy("upload_id").agg(F.count("*").alias("conflicts"), F.round(F.avg("worst"), 4).alias("avg_peak"))
+def themes(m: DataFrame, k: int = 3) -> DataFrame:
+    """The one theme given without a language model, named by the keyword that begins most runs (that met first, of equal ones); with its runs and the first k messages that began one."""
+    r = runs(m)
+    each = r.select("upload_id", "lo", F.posexplode(F.regexp_extract_all(F.lower(F.substring("trigger", 1, 280)), F.lit(KEYWORD_PATTERN), F.lit(1))).alias("pos", "word"))
+    words = each.groupBy("upload_id", "word").agg(F.count("*").alias("n"), F.min(F.struct("lo", "pos")).alias("at"))
+    words = top(words, ["upload_id"], 1, F.desc("n"), "at").select("upload_id", "word")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("lo", F.col(c).alias("x")))), lambda s: s["x"])
+    r = r.groupBy("upload_id").agg(F.count("*").alias("conflicts"), F.round(F.avg("worst"), 4).alias("avg_peak"), in_order("window_id").alias("window_ids"), F.slice(in_order("trigger_id"), 1, k).alias("examples"))
     label = F.when(F.col("word").isNotNull(), F.concat(F.lit("Around '"), "word", F.lit("'"))).otherwise("Recurring tension")
-    return r.join(words, "upload_id", "left").select("upload_id", label.alias("label"), "conflicts", "avg_peak")
+    return r.join(words, "upload_id", "left").select("upload_id", label.alias("label"), "conflicts", "avg_peak", "window_ids", "examples")
+
+
+def named_themes(m: DataFrame, answers: DataFrame) -> DataFrame:
+    """Themes that a model named: answers has upload_id, window_id and theme; windows it doesn't name are in none, and those it made up don't count."""
+    told = answers.select("upload_id", "window_id", "theme").dropDuplicates(["upload_id", "window_id"])
+    return runs(m).join(told, ["upload_id", "window_id"]).groupBy("upload_id", "theme").agg(F.count("*").alias("conflicts"), F.round(F.avg("worst"), 4).alias("avg_peak"))
 
 
 def sample_messages(m: DataFrame, k: int = 5) -> DataFrame:

@@ -45,8 +45,13 @@ def candidates(m: DataFrame) -> DataFrame:
     return stride_sample(rows)
 
 
-def classified(m: DataFrame) -> DataFrame:
-    return candidates(m).withColumn("kind", kind_of(F.col("content"))).where("kind IS NOT NULL")
+def classified(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Candidates with their kind: by phrase, else by a model's answers (upload_id, msg_id, category), of which unknown messages and kinds don't count."""
+    rows = candidates(m).withColumn("kind", kind_of(F.col("content")))
+    if answers is not None:
+        told = answers.where(F.col("category").isin(*KINDS)).groupBy("upload_id", "msg_id").agg(F.min("category").alias("_told"))
+        rows = rows.join(told, ["upload_id", "msg_id"], "left").withColumn("kind", F.coalesce("kind", "_told")).drop("_told")
+    return rows.where("kind IS NOT NULL")
 
 
 def residual(m: DataFrame) -> DataFrame:
@@ -55,9 +60,9 @@ def residual(m: DataFrame) -> DataFrame:
     return c.join(classified(m).select("upload_id", "msg_id"), ["upload_id", "msg_id"], "left_anti").select("upload_id", "msg_id", "sender", F.substring("content", 1, 400).alias("prompt"))
 
 
-def report(m: DataFrame) -> DataFrame:
+def report(m: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Each sender's messages and share of every kind, zeros too."""
-    counts = classified(m).groupBy("upload_id", "sender", "kind").agg(F.count("*").alias("n"))
+    counts = classified(m, answers).groupBy("upload_id", "sender", "kind").agg(F.count("*").alias("n"))
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind")) for i, k in enumerate(KINDS)])).alias("k")
     spine = m.select("upload_id", "sender").distinct().select("upload_id", "sender", kinds).select("upload_id", "sender", "k.place", "k.kind")
     rows = spine.join(counts, ["upload_id", "sender", "kind"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

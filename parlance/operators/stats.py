@@ -122,9 +122,13 @@ def favourite_tokens(m: DataFrame) -> DataFrame:
     return first_of(counts.unionByName(whole), ["upload_id", "sender", "kind"], F.desc("n"), "at").select("upload_id", "sender", "kind", "token", F.col("n").alias("uses"))
 
 
-def participant_dive(m: DataFrame, sender: str) -> DataFrame:
-    """One sender's counts, sentiment and emotions, hours apart."""
-    rows = m.where(F.col("sender") == sender)
+def _of(m: DataFrame, sender: str | None) -> DataFrame:
+    return m if sender is None else m.where(F.col("sender") == sender)
+
+
+def participant_dive(m: DataFrame, sender: str | None = None) -> DataFrame:
+    """Each sender's (or one's) counts, sentiment and emotions, hours apart."""
+    rows = _of(m, sender)
     label = lambda c, v: F.count_if(F.col(c) == v)
     return rows.groupBy("upload_id", "sender").agg(
         F.count("*").alias("messages"), F.round(F.avg("sentiment_score"), 3).alias("avg_sentiment"),
@@ -138,15 +142,18 @@ def participant_dive(m: DataFrame, sender: str) -> DataFrame:
 EMOTIONS = ("joy", "love", "sadness", "anger", "fear", "surprise", "disgust")
 
 
-def participant_words(m: DataFrame, sender: str, k: int = 10) -> DataFrame:
-    rows = m.where((F.col("sender") == sender) & ~F.col("is_deleted"))
-    words = rows.select("upload_id", "msg_index", F.posexplode(F.filter(T.tokens(F.col("content")), lambda w: ~w.isin(*T.STOPWORDS))).alias("pos", "word"))
-    counts = words.groupBy("upload_id", "word").agg(F.count("*").alias("uses"), F.min(F.struct("msg_index", "pos")).alias("at"))
-    return top(counts, ["upload_id"], k, F.desc("uses"), "at").select("upload_id", "rank", "word", "uses")
+def participant_words(m: DataFrame, sender: str | None = None, k: int = 10) -> DataFrame:
+    rows = _of(m, sender).where("NOT is_deleted")
+    words = rows.select("upload_id", "sender", "msg_index", F.posexplode(F.filter(T.tokens(F.col("content")), lambda w: ~w.isin(*T.STOPWORDS))).alias("pos", "word"))
+    counts = words.groupBy("upload_id", "sender", "word").agg(F.count("*").alias("uses"), F.min(F.struct("msg_index", "pos")).alias("at"))
+    return top(counts, ["upload_id", "sender"], k, F.desc("uses"), "at").select("upload_id", "sender", "rank", "word", "uses")
 
 
-def participant_hours(m: DataFrame, sender: str) -> DataFrame:
-    return hour_histogram(m.where(F.col("sender") == sender))
+def participant_hours(m: DataFrame, sender: str | None = None) -> DataFrame:
+    """Messages of each sender (or of one) in every hour of the day."""
+    counts = _of(m, sender).groupBy("upload_id", "sender", F.hour("timestamp").alias("hour")).agg(F.count("*").alias("n"))
+    spine = counts.select("upload_id", "sender").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return spine.join(counts, ["upload_id", "sender", "hour"], "left").select("upload_id", "sender", "hour", F.coalesce("n", F.lit(0)).alias("messages"))
 
 
 def import_stats(m: DataFrame) -> DataFrame:
