@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import text as T
+
 # Scripts by code points, word lists of each language, and the thresholds.
 SCRIPTS = {
     "devanagari": r"\x{0900}-\x{097F}", "bengali_script": r"\x{0980}-\x{09FF}", "tamil": r"\x{0B80}-\x{0BFF}", "telugu": r"\x{0C00}-\x{0C7F}", "kannada": r"\x{0C80}-\x{0CFF}", "malayalam": r"\x{0D00}-\x{0D7F}",
@@ -26,28 +30,41 @@ LEAST_HITS, LEAST_SHARE, SCRIPT_SHARE, MARGIN = 2, 0.15, 0.30, 0.04
 
 
 def detect(text: Column) -> Column:
-    """A struct (category, confidence). Fewer than three Latin words are too short to tell, whatever the script."""
+    """A struct (category, confidence). Fewer than three Latin words are too short to tell, whatever the script.
+
+    Words, hits and their order are each worked out once; texts of ASCII alone have no letters of other scripts to count.
+    """
     words = F.regexp_extract_all(F.lower(F.trim(text)), F.lit(f"({TOKEN})"), F.lit(1))
-    n = F.size(words)
-    counts = {k: F.regexp_count(text, F.lit(f"[{r}]")) for k, r in SCRIPTS.items()}
-    letters = F.regexp_count(text, F.lit(f"[{LATIN}]"))
-    for c in counts.values():
-        letters = letters + c
-    # the largest script; ties go to the one listed first
-    script = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("name")) for i, (k, c) in enumerate(counts.items())]))
-    share = script["n"] / letters
-    hits = [F.struct((F.size(F.array_intersect(words, F.array(*map(F.lit, x.split())))) / n).alias("share"), F.lit(-i).alias("order"), F.lit(k).alias("name"), F.size(F.array_intersect(words, F.array(*map(F.lit, x.split())))).alias("hits")) for i, (k, x) in enumerate(LEXICONS.items())]
-    ranked = F.sort_array(F.filter(F.array(*hits), lambda h: (h["hits"] >= LEAST_HITS) & (h["share"] >= LEAST_SHARE)), False)
-    first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     result = lambda name, conf: F.struct(name.alias("category"), F.round(conf, 3).alias("confidence"))
-    return (
-        F.when(text.isNull(), result(F.lit("english"), F.lit(0.0)))
-        .when(n <= 2, result(F.lit("too_short"), F.lit(0.0)))
-        .when((script["n"] > 0) & (share >= SCRIPT_SHARE), result(script["name"], share))
-        .when(first.isNull(), result(F.lit("english"), F.lit(0.6)))
-        .when(second.isNotNull() & (first["share"] - second["share"] <= MARGIN), result(F.lit("mixed_code_switched"), first["share"]))
-        .otherwise(result(first["name"], first["share"]))
-    )
+    counts = F.array(*[F.struct(F.regexp_count(text, F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("name")) for i, (k, r) in enumerate(SCRIPTS.items())])
+
+    def of_script(c: Column) -> Column:
+        letters = F.aggregate(c, F.regexp_count(text, F.lit(f"[{LATIN}]")), lambda s, x: s + x["n"])
+        # the largest script; ties go to the one listed first
+        return T.let(F.array_max(c), lambda best: F.when(best["n"] > 0, F.struct((best["n"] / letters).alias("share"), best["name"].alias("name"))))
+
+    plain = F.octet_length(text) == F.length(text)
+    script = F.when(~plain, T.let(counts, of_script))
+
+    def of_words(w: Column) -> Column:
+        n, distinct = F.size(w), F.array_distinct(w)
+        each = T.let(distinct, lambda d: F.array(*[T.let(F.size(F.filter(d, lambda x: x.isin(*known.split()))), lambda h: F.struct((h / n).alias("share"), F.lit(-i).alias("order"), F.lit(k).alias("name"), h.alias("hits"))) for i, (k, known) in enumerate(LEXICONS.items())]))  # noqa: B023
+        ranked = F.sort_array(F.filter(each, lambda h: (h["hits"] >= LEAST_HITS) & (h["share"] >= LEAST_SHARE)), False)
+        return T.let(ranked, of_ranked)
+
+    def of_ranked(r: Column) -> Column:
+        first, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+        return (
+            F.when(F.size(r) == 0, result(F.lit("english"), F.lit(0.6)))
+            .when(second.isNotNull() & (first["share"] - second["share"] <= MARGIN), result(F.lit("mixed_code_switched"), first["share"]))
+            .otherwise(result(first["name"], first["share"]))
+        )
+
+    def of_text(w: Column) -> Column:
+        told = T.let(script, lambda s: F.when(s["share"] >= SCRIPT_SHARE, result(s["name"], s["share"])).otherwise(of_words(w)))
+        return F.when(F.size(w) <= 2, result(F.lit("too_short"), F.lit(0.0))).otherwise(told)
+
+    return F.when(text.isNull(), result(F.lit("english"), F.lit(0.0))).otherwise(T.let(words, of_text))
 
 
 def detected(m: DataFrame, text_col: str = "content") -> DataFrame:
@@ -59,9 +76,38 @@ def stats(m: DataFrame) -> DataFrame:
     return detected(m).groupBy("upload_id", "category").agg(F.count("*").alias("messages"))
 
 
-def normalised(m: DataFrame, fast_path: bool = False) -> DataFrame:
-    """content_english, original_language and was_translated; a translator may fill what needs one. fast_path: all are taken as English."""
-    if fast_path:
-        return m.withColumns({"content_english": F.coalesce("content_english", "content"), "original_language": F.lit("english"), "was_translated": F.lit(False)})
-    rows = m.withColumn("_d", detect(F.col("content")))
-    return rows.withColumns({"content_english": F.coalesce("content_english", "content"), "original_language": F.coalesce("original_language", F.col("_d.category")), "was_translated": F.lit(False)}).drop("_d")
+# Messages of a sample, and the share of English or short ones from which on a conversation counts as English.
+SAMPLE, ENGLISH = 200, 0.95
+# ISO 639-1 codes of the categories that are one language.
+CODES = {"english": "en", "french": "fr", "spanish": "es", "german": "de", "devanagari": "hi", "hinglish": "hi", "bengali_script": "bn", "bengali_roman": "bn", "tamil": "ta", "tanglish": "ta", "telugu": "te", "tenglish": "te", "kannada": "kn", "malayalam": "ml", "manglish": "ml", "arabic_script": "ar", "hangul": "ko", "han_chinese": "zh", "cyrillic": "ru"}
+
+
+def sample(m: DataFrame, k: int = SAMPLE) -> DataFrame:
+    """At most k messages of each conversation, by a hash of their place: the same ones on each run."""
+    place = F.md5(F.concat_ws(":", F.col("upload_id").cast("string"), F.col("msg_index").cast("string")))
+    w = Window.partitionBy("upload_id").orderBy(place, "msg_index")
+    return m.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k).drop("_place")
+
+
+def english_uploads(m: DataFrame) -> DataFrame:
+    """Conversations of whose sampled messages without a translation nearly all are English or too short to tell."""
+    pending = sample(m.where("content_english IS NULL AND content IS NOT NULL").select("upload_id", "msg_index", "content"))
+    like = F.col("category").isin("english", "too_short")
+    return detected(pending).groupBy("upload_id").agg(F.avg(like.cast("int")).alias("share")).where(F.col("share") >= ENGLISH).select("upload_id")
+
+
+def normalised(m: DataFrame, translate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """content_english, original_language and was_translated. Conversations whose sample is English are stamped as such; elsewhere translate turns what isn't English (and long enough to tell)."""
+    rows = m.join(english_uploads(m).withColumn("_english", F.lit(True)), "upload_id", "left").withColumn("_english", F.coalesce("_english", F.lit(False)))
+    rows = rows.withColumn("_d", F.when(F.col("_english"), F.lit(None)).otherwise(detect(F.col("content"))))
+    category = F.coalesce("original_language", "_d.category", F.lit("english"))
+    foreign = F.col("content_english").isNull() & ~F.col("_english") & ~F.col("_d.category").isin("english", "too_short") & (F.col("content") != "")
+    new = F.when(foreign, translate(F.col("content"))) if translate is not None else F.lit(None).cast("string")
+    changed = new.isNotNull() & (F.lower(F.trim(new)) != F.lower(F.trim("content")))
+    return rows.withColumns({"original_language": category, "was_translated": F.coalesce(changed, F.lit(False)), "content_english": F.coalesce("content_english", new, "content")}).drop("_d", "_english")
+
+
+def code(text: Column) -> Column:
+    """Two letters for the language; unknown for texts of fewer than three characters and for mixtures."""
+    codes = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    return F.when(F.length(F.trim(text)) < 3, "unknown").otherwise(T.let(detect(text)["category"], lambda c: F.coalesce(F.try_element_at(codes, c), F.lit("unknown"))))

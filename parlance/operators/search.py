@@ -99,12 +99,36 @@ def citations(answer: Column) -> Column:
 
 def keyword_rich(query: Column, least: int = 5) -> Column:
     """Whether a query has enough distinct words that are no stopwords."""
-    words = F.filter(F.array_distinct(T.tokens(query)), lambda w: ~w.isin(*T.STOPWORDS))
+    words = F.filter(F.array_distinct(T.tokens(query)), lambda w: ~w.isin(*T.CONTENT_STOPWORDS))
     return F.size(words) >= least
 
 
-SUGGESTIONS = ("When did we laugh the most?", "What plans did we make?", "When was the last argument?", "Who apologises first?", "What trips did we talk about?", "When did we say we miss each other?", "What made us happy this month?", "Which birthdays did we mention?")
+# What to ask, as it is shown, as it is searched, and its kind.
+SUGGESTIONS = (
+    ("What do we argue about?", "What are the most common reasons we argue or disagree?", "relationship"),
+    ("How does affection show up?", "How does each person express affection or love in the conversation?", "relationship"),
+    ("Happiest moments", "Which conversations stand out as the happiest or most fun?", "moments"),
+    ("When did things change?", "When did the communication patterns change, and how?", "patterns"),
+    ("Most discussed topics", "What topics do we discuss most often?", "content"),
+    ("How do we apologize?", "How does each person apologize, and how is it received?", "relationship"),
+    ("Plans we made", "What plans did we make together — trips, events, ideas?", "content"),
+    ("Inside jokes", "What are the recurring jokes, references, or shared phrases?", "content"),
+)
 
 
 def suggestions(spark) -> DataFrame:
-    return spark.createDataFrame([(i, s) for i, s in enumerate(SUGGESTIONS, 1)], "place int, suggestion string")
+    return spark.createDataFrame([(i, *s) for i, s in enumerate(SUGGESTIONS, 1)], "place int, label string, query string, category string")
+
+
+def newest_first(hits: DataFrame, m: DataFrame) -> DataFrame:
+    """Hits of a search in the order of their messages' times, the newest first."""
+    times = m.select("upload_id", F.col("msg_index").alias("anchor_index"), "timestamp")
+    w = Window.partitionBy("query_id").orderBy(F.desc("timestamp"), "first_rank")
+    rows = hits.withColumnRenamed("rank", "first_rank").join(times, ["upload_id", "anchor_index"])
+    return rows.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "upload_id", "chunk_index", "anchor_index", "timestamp")
+
+
+def history(asked: DataFrame, k: int = 20) -> DataFrame:
+    """Each user's last k different queries (whatever their case and outer white space), the newest first; asked: user, query, at."""
+    latest = asked.groupBy("user", F.lower(F.trim("query")).alias("key")).agg(F.max_by("query", "at").alias("query"), F.max("at").alias("at"))
+    return top(latest, ["user"], k, F.desc("at"), "key").select("user", "rank", "query", "at")
