@@ -21,10 +21,13 @@ from parlance.functions import text as T
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file and text of every file: UTF-8, or Latin-1 where the bytes are no valid UTF-8."""
+    """file (its whole path: exports of one name lie in many folders) and text of every file: UTF-8, or Latin-1 where the bytes are no valid UTF-8.
+
+    Spark reads no files whose names begin with _ or a dot; exports of such names have to be renamed.
+    """
     raw = spark.read.format("binaryFile").load(path)
     as_text = F.col("content").cast("string")
-    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
+    return raw.select(F.col("path").alias("file"), F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
 
 
 # ---- detection ----
@@ -42,7 +45,7 @@ LEAST_CONFIDENCE = 0.4
 
 def detect(files: DataFrame) -> DataFrame:
     """file, platform and confidence: sums of evidence, at most 1; ties go to the platform listed first."""
-    name, text = F.lower("file"), F.col("text")
+    name, text = F.lower(F.regexp_extract("file", r"([^/]+)$", 1)), F.col("text")
     given = lambda cond, x: F.when(cond, F.lit(x)).otherwise(F.lit(0.0))
     is_json = F.trim(text).rlike(r"^[\[{]") & F.try_parse_json(text).isNotNull()
     top_keys = F.coalesce(F.json_object_keys(F.when(F.trim(text).startswith("{"), text)), F.array().cast("array<string>"))

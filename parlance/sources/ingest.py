@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def pending(m: DataFrame, column: str) -> DataFrame:
     return m.where(F.col(column).isNull())
 
 
+def next_page(m: DataFrame, after: int, limit: int, column: str = "sentiment_label") -> DataFrame:
+    """Of each conversation, the next rows after a place that a stage hasn't filled yet, in order: a page of at most limit rows."""
+    w = Window.partitionBy("upload_id").orderBy("msg_index")
+    rows = pending(m, column).where(F.col("msg_index") > after)
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= limit).drop("_place")
+
+
 def stamp_english(m: DataFrame) -> DataFrame:
     return m.withColumn("content_english", F.coalesce("content_english", "content"))
 

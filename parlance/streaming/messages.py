@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 day"
@@ -47,6 +48,28 @@ def response_gaps(m: DataFrame) -> DataFrame:
     return m.groupBy("upload_id").applyInPandasWithState(run, "upload_id long, sender string, timestamp timestamp, minutes double", "sender string, since long", "append", GroupStateTimeout.NoTimeout)
 
 
+def report(spark, hear: Callable[[str, int, float], None]) -> StreamingQueryListener:
+    """Tells hear of each batch of the session's streams: the query's name, the batch's number and rows a second. spark.streams.removeListener ends it."""
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            hear(p.name or str(p.id), p.batchId, p.processedRowsPerSecond or 0.0)
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            pass
+
+    out = Progress()
+    spark.streams.addListener(out)
+    return out
+
+
 def stage(source: DataFrame, fill, path: str, checkpoint: str):
     """A stage of enrichment over a stream: each batch is filled and appended once; the checkpoint says which are done."""
 
