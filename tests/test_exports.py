@@ -72,3 +72,11 @@ def test_nothing_known(spark):
     with pytest.raises(Exception, match="no known chat export"):
         X.parse(files(spark, ("x.bin", "hello"))).collect()
     assert X.whatsapp(files(spark)).count() == 0
+
+
+def test_exports_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for k, folder in enumerate(("a", "b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "chat.txt").write_text("\n".join(f"[12/01/2024, 18:4{i}:01] Alice: {folder} {i}" for i in range(3 + k)))
+    got = X.parse(X.read_files(spark, f"file://{tmp_path}/*/chat.txt")).collect()
+    assert len({r["file"] for r in got}) == 2 and sorted((r["file"][-10], r["msg_index"], r["content"]) for r in got) == [(f, i, f"{f} {i}") for f, n in (("a", 3), ("b", 4)) for i in range(n)]
