@@ -16,6 +16,7 @@ a language keeps. Languages are taken to be thousands at most.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,12 @@ SLOTS, HASHES = 1 << 18, 3
 LEAST_SHARE = 0.02
 #: A letter, and the letters and marks that follow it.
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_ASCII_WORD = re.compile("[a-z]+")
+
+
+def _words(text: str) -> list[str]:
+    low = text.lower()
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
 
 
 def _grams(word: str) -> set[str]:
@@ -46,7 +53,7 @@ def _grams(word: str) -> set[str]:
 
 def text_grams(text: str) -> set[str]:
     """The distinct n-grams of a text's words."""
-    return set().union(*map(_grams, set(_WORD.findall(text.lower()))))
+    return set().union(*map(_grams, set(_words(text))))
 
 
 def _slots(gram: str) -> list[int]:
@@ -101,8 +108,8 @@ class Scorer:
 
     def __init__(self, filters: Filters):
         self.f = filters
-        self.gram = TwoGenerations(self._gram, 100_000)
-        self.word = TwoGenerations(self._word, 80_000)
+        self.gram = TwoGenerations(self._gram, 150_000)
+        self.word = TwoGenerations(self._word, 120_000)
 
     def _gram(self, gram: str) -> int:
         mask, out, k = self.f.masks([gram])[0], 1, 1
@@ -114,7 +121,7 @@ class Scorer:
 
     def _word(self, word: str) -> int:
         """Of a stretch without white space: its n-grams, and how many of them each language holds."""
-        return sum([self.gram[g] for w in _WORD.findall(word.lower()) for g in _grams(w)])
+        return sum([self.gram[g] for w in _words(word) for g in _grams(w)])
 
     def shares(self, text: str | None) -> np.ndarray | None:
         """Each language's corrected share of the text's n-grams; null where there are none."""
@@ -146,7 +153,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # each task keeps the first places of each language only
     place = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))
     last = rows.select("lang", slot.alias("slot")).withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("slot").alias("last"))
-    chosen = rows.join(last, "lang").where(slot <= F.col("last")).select("lang", "text")
+    # a row for each language
+    chosen = rows.join(F.broadcast(last), "lang").where(slot <= F.col("last")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("language")
