@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import TwoGenerations, begin, crc_mod, in_arrow, scored, table
+from parlance.llm.common import TwoGenerations, begin, crc_mod, in_arrow, materialise, scored, table
 
 #: Sample texts of a language, of any length.
 SAMPLE = 400
@@ -142,17 +142,42 @@ class Scorer:
         return self.f.languages[best], float(power[best] / power.sum()), float(share[best])
 
 
+#: Times the rows that a sample needs that are ranked for it.
+SPARE = 4
+
+
+def _last_slots(slots: DataFrame, sizes: DataFrame, sample: int) -> DataFrame:
+    """(lang, last): the slot of each language's row at place sample, by slot, or of its last row where there are fewer.
+
+    Slots spread evenly, so a language of size rows has about SPARE * sample below that share of their range; only these
+    are ranked, however large the table is. A language with too few there, as its rows repeat, is ranked whole.
+    """
+    spread = slots.join(F.broadcast(sizes), "lang")
+    near = F.col("slot").cast("double") <= F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(float(SPARE * sample)) / F.col("size")) - F.lit(2.0**63)
+    # each task keeps the first places of each language only
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))
+
+    def last(some: DataFrame) -> DataFrame:
+        return some.withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("slot").alias("last"), F.max("n").alias("n"))
+
+    ranked = materialise(last(spread.where(near)).join(F.broadcast(sizes), "lang").where((F.col("n") >= sample) | (F.col("size") <= SPARE * sample)).select("lang", "last"))
+    short = sizes.where(F.col("size") > SPARE * sample).join(F.broadcast(ranked), "lang", "left_anti").select("lang")
+    if short.isEmpty():
+        return ranked
+    return ranked.unionByName(last(slots.join(F.broadcast(short), "lang")).select("lang", "last"))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Filters:
     """Filters from the sample texts of each language whose ids and texts hash least, among rows whose crc32 remainder by 4 isn't 2.
 
     Rows that repeat an id and its text share a place in that order and all come in.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("id"), 4) != 2))
+    rows = rows.where(F.col("lang").isNotNull() & (crc_mod(F.col("id"), 4) != 2))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    rows = rows.where("text IS NOT NULL")
     slot = F.xxhash64(F.col("id"), F.col("text"))
-    # each task keeps the first places of each language only
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("slot"))
-    last = rows.select("lang", slot.alias("slot")).withColumn("n", place).where(F.col("n") <= sample).groupBy("lang").agg(F.max("slot").alias("last"))
+    last = _last_slots(rows.select("lang", slot.alias("slot")), sizes, sample)
     # a row for each language
     chosen = rows.join(F.broadcast(last), "lang").where(slot <= F.col("last")).select("lang", "text")
 

@@ -397,6 +397,17 @@ def test_languages_beyond_one_mask_and_texts_without_letters(spark):
     assert np.mean([got[i][0] == x for i, _, x, *_ in rows[:560]]) > 0.98
 
 
+def test_last_slots_are_those_of_a_whole_ranking(spark):
+    rng = random.Random(21)
+    slot = lambda: rng.randrange(-(2**63), 2**63)
+    rows = [("many", slot()) for _ in range(3_000)] + [("few", slot()) for _ in range(4)] + [("same", 2**62)] * 900 + [("two", s) for s in (2**63 - 1, -(2**63)) for _ in range(100)] + [("edge", 2**63 - 1)]
+    slots = spark.createDataFrame(rows, "lang string, slot long")
+    sizes = slots.groupBy("lang").agg(F.count("*").alias("size")).union(spark.createDataFrame([("untold", 500)], "lang string, size long"))
+    for sample in (1, 10, 700):
+        of = {x: sorted(s for y, s in rows if y == x) for x, _ in rows}
+        assert dict(langid._last_slots(slots, sizes, sample).collect()) == {x: s[: sample][-1] for x, s in of.items()}
+
+
 def test_bloom_shares_are_those_of_exact_sets(spark):
     rng = random.Random(14)
     part = {"en": "the and ing ou th".split(), "fr": "le eau oi que ez".split(), "es": "ción ado os la es".split()}
