@@ -41,10 +41,14 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: Words that a worker remembers in each of two generations, and in op1, where no other operator's memos are beside them.
+MEMO, ROOMY = 80_000, 240_000
+
+
 class WordBpe:
-    """A vocabulary with end-of-word entries, as the tokenizers library's JSON files hold it."""
+    """A vocabulary with end-of-word entries, as the tokenizers library's JSON files hold it. memo: words remembered, by which only the time and the memory change."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = 0):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -97,13 +101,14 @@ class WordBpe:
         self.whole = {inner(s): (i,) for s, i in vocab.items() if s.endswith(self.suffix)}
         self.path = path
         self.library = None
+        self.memo = memo or MEMO
         self.forget()
 
     def forget(self) -> None:
         """Empties the memos."""
         self.compatible: dict[int, bool] = {}
-        self.piece = TwoGenerations(self._piece, 60_000)
-        self.words = TwoGenerations(self._word, 80_000)
+        self.piece = TwoGenerations(self._piece, self.memo * 3 // 4)
+        self.words = TwoGenerations(self._word, self.memo)
 
     def _compatible(self, a: int, b: int) -> bool:
         """Whether both tokens stay as they are when they meet: no merge across their border comes before the merges that made them."""
@@ -234,9 +239,9 @@ _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
+def load(path: str, memo: int = MEMO) -> WordBpe:
     """One vocabulary for each worker process."""
-    return WordBpe(path)
+    return WordBpe(path, memo)
 
 
 def _fields(df: DataFrame, keep: list[str]) -> str:
@@ -244,7 +249,7 @@ def _fields(df: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in keep)
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = ("doc_id",), ids: bool = True, digests: bool = False) -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = ("doc_id",), ids: bool = True, digests: bool = False, memo: int = MEMO) -> DataFrame:
     """Tokens of every text: keep's columns, n_tokens, ids (if asked for), and digests of the ids and of the decoded text (if asked for).
 
     One pass without a shuffle. Null and empty texts: no tokens. Rows, repeated ones too, stay one for one; other
@@ -255,7 +260,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: list[str] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("bpe", load.cache_clear)
-        bpe = load(path)
+        bpe = load(path, memo)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         names = [*keep, "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
         for whole in batches:
@@ -302,4 +307,4 @@ def default_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Numbers of tokens and digests of tokens and decoded texts, of all documents."""
-    return encode(table(spark, sf_dir, "documents"), path or default_path(), ids=False, digests=True)
+    return encode(table(spark, sf_dir, "documents"), path or default_path(), ids=False, digests=True, memo=ROOMY)
