@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from parlance.functions import text as T
 from parlance.operators.stats import top
@@ -34,10 +39,141 @@ def fit_length(v: Column, n: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0).cast("float"), n)), 1, n)
 
 
+#: Chunks and queries of a cell, and components of either's vectors; queries that are compared at once, pairs that are scored at once.
+ROWS, QUERIES, COMPONENTS, TOGETHER, PAIRS = 16_384, 2_048, 1 << 23, 128, 1 << 16
+#: Similarities have so many digits; equal ones are at most one step of the last apart, and products of matrices err by far less than the rest.
+DIGITS = 5
+MARGIN = 10.0**-DIGITS + 1e-9
+
+
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths (-1: null, empty or holding null, so without a similarity), starts, and all components in double precision."""
+    v = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    sizes = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = v.flatten()
+    gaps = np.repeat(np.arange(len(v)), sizes)[values.is_null().to_numpy(zero_copy_only=False)]
+    lengths = np.where(sizes == 0, -1, sizes)
+    lengths[gaps] = -1
+    return lengths, np.cumsum(sizes) - sizes, values.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows, added up in the order of components, as dot() does."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        out += x[:, j] * y[:, j]
+    return out
+
+
+def _leads(k: int, *keys: np.ndarray) -> np.ndarray:
+    """Which rows are among the first k of their run of equal keys."""
+    at = np.arange(len(keys[0]))
+    new = np.ones(len(at), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in keys], axis=0)
+    return at - np.maximum.accumulate(np.where(new, at, 0)) < k
+
+
+def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of those that may be among their query's first k by the rounded score, then by row."""
+    steps = score * 10.0**DIGITS
+    unsure = np.abs(steps - np.floor(steps) - 0.5) < 1e-4  # Spark alone rounds those
+    level = np.where(np.isnan(score), np.inf, np.where(np.isposinf(score), 1e300, np.rint(steps)))
+    sure, rest = np.flatnonzero(~unsure), np.flatnonzero(unsure)
+    sure = sure[np.lexsort((row[sure], -level[sure], query[sure]))]
+    rest = rest[np.lexsort((row[rest], score[rest], query[rest]))]
+    return np.concatenate([sure[_leads(k, query[sure])], rest[_leads(k, query[rest], score[rest])]])
+
+
+def _pairs(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and cosine of those that may be among the k rows of x nearest to a query of y; earlier rows win ties.
+
+    Products of matrices say which rows are near enough; those are scored as cosine() does. Equal vectors count once.
+    """
+    _, lead, group = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(len(lead) + 1))
+    x = x[lead]
+    nx, ny = np.sqrt(_dots(x, x)), np.sqrt(_dots(y, y))
+    # what is zero, not finite or out of all proportion is scored with everything
+    unit = [np.where(((n > 1e-100) & (n < 1e100))[:, None], v / n[:, None], np.nan) for v, n in ((x, nx), (y, ny))]
+    found = []
+    for at in range(0, len(y), TOGETHER):
+        near = unit[1][at : at + TOGETHER] @ unit[0].T
+        loose = np.isnan(near)
+        near[loose] = -np.inf
+        if k < len(lead):
+            loose |= near >= np.partition(near, len(lead) - k, axis=1)[:, len(lead) - k, None] - MARGIN
+        else:
+            loose[:] = True
+        q, g = np.nonzero(loose)
+        q += at
+        score = np.empty(len(q))
+        for i in range(0, len(q), PAIRS):
+            a, b = g[i : i + PAIRS], q[i : i + PAIRS]
+            score[i : i + PAIRS] = _dots(x[a], y[b]) / (nx[a] * ny[b])
+        copies = np.minimum(bounds[g + 1] - bounds[g], k)
+        place = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        q, row, score = np.repeat(q, copies), order[np.repeat(bounds[g], copies) + place], np.repeat(score, copies)
+        best = _best(q, row, score, k)
+        found.append((q[best], row[best], score[best]))
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def _cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What of a cell's chunks may be among the k nearest to each of its queries."""
+
+    def run(c: pa.Table, queries: pa.Table) -> pa.Table:
+        c = c.take(pc.sort_indices(c, sort_keys=[("chunk_index", "ascending")], null_placement="at_start"))
+        lengths, starts, values = _vectors(c["embedding"])
+        asked_lengths, asked_starts, asked_values = _vectors(queries["query"])
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+        for d in np.unique(asked_lengths):
+            own, rows = np.flatnonzero(asked_lengths == d), np.flatnonzero((lengths == d) & (d >= 0))
+            if len(rows):
+                with np.errstate(all="ignore"):
+                    q, r, score = _pairs(values[starts[rows][:, None] + np.arange(d)], asked_values[asked_starts[own][:, None] + np.arange(d)], k)
+                found.append((own[q], rows[r], score, np.zeros(len(q), bool)))
+            if len(rows) < k:  # then chunks without a similarity follow
+                rest = np.flatnonzero((lengths != d) | (d < 0))[:k]
+                found.append((np.repeat(own, len(rest)), np.tile(rest, len(own)), np.zeros(len(own) * len(rest)), np.ones(len(own) * len(rest), bool)))
+        q, r, score, none = (np.concatenate(x) for x in zip(*found))
+        left, right = c.drop_columns(["embedding", *_CELL]).take(r), queries.drop_columns(["upload_id", "query", *_CELL]).take(q)
+        return pa.table([*left.columns, *right.columns, pa.array(score, mask=none)], names=[*left.column_names, *right.column_names, "similarity"])
+
+    return run
+
+
+_CELL = ["_rows", "_queries"]
+
+
+def _blocks(df: DataFrame, vector: str, most: int, name: str) -> DataFrame:
+    """Into how many blocks each conversation's rows are dealt."""
+    size = df.groupBy("upload_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(vector)), F.lit(0)).alias("components"))
+    return size.select("upload_id", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("components") / COMPONENTS)).cast("int").alias(name))
+
+
 def nearest(c: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each query's k chunks of largest cosine within its conversation; queries: query_id, upload_id, query (a vector). Each task keeps k of each."""
-    rows = c.join(queries, "upload_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 5))
-    return top(rows, ["query_id"], k, F.desc("similarity"), "upload_id", "chunk_index")
+    """Each query's k chunks of largest cosine within its conversation; queries: query_id, upload_id, query (a vector).
+
+    Chunks and queries of a conversation are dealt into blocks, each pair of blocks is one cell, and each cell keeps
+    k of each query. Equal cosines go to the smaller chunk_index. Chunks without one (no vector, null in it, another
+    length) come last; a vector of zeros has no direction, its cosine is NaN, which counts as the largest, as in SQL.
+    Both tables' columns stay, but for the vectors.
+    """
+    c, queries = c.where("upload_id IS NOT NULL"), queries.where("upload_id IS NOT NULL")
+    blocks = _blocks(c, "embedding", ROWS, "_n_rows").join(_blocks(queries, "query", QUERIES, "_n_queries"), "upload_id")
+    # one row for each full block at most
+    large = F.broadcast(blocks.where("_n_rows > 1 OR _n_queries > 1"))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    sides = []
+    for df, key, own, other in ((c, "chunk_index", *_CELL), (queries, "query_id", *reversed(_CELL))):
+        dealt = df.join(large, "upload_id", "left").withColumn(own, block(key, F.col(f"_n{own}"))).withColumn(other, every(F.col(f"_n{other}")))
+        # columns of their own, as the queries may be rows of the same table
+        sides.append(dealt.select(*[F.col(x).alias(x) for x in (*df.columns, *_CELL)]).groupBy("upload_id", *_CELL))
+    kept = [f for f in c.schema if f.name != "embedding"] + [f for f in queries.schema if f.name not in ("upload_id", "query")]
+    found = sides[0].cogroup(sides[1]).applyInArrow(_cell(k), StructType(kept).add("similarity", DoubleType()))
+    return top(found.withColumn("similarity", F.round("similarity", DIGITS)), ["query_id"], k, F.desc("similarity"), "upload_id", "chunk_index")
 
 
 def filters(sender=None, date_from=None, date_to=None, emotion=None, sentiment=None, msg_type=None) -> Column:
@@ -70,7 +206,9 @@ def similar_to(c: DataFrame, msg_index: int, upload_id: int, k: int = 10) -> Dat
     """Chunks nearest to the first chunk that holds a message, without that one."""
     own = c.where((F.col("upload_id") == upload_id) & (F.col("start_msg_index") <= msg_index) & (F.col("end_msg_index") >= msg_index) & F.col("embedding").isNotNull())
     q = own.orderBy("chunk_index").limit(1).select(F.lit(0).alias("query_id"), "upload_id", F.col("embedding").alias("query"), F.col("chunk_index").alias("own"))
-    return top(nearest(c, q, k + 5).where("chunk_index <> own").drop("rank"), ["query_id"], k, F.desc("similarity"), "chunk_index").select("rank", "upload_id", "chunk_index", "similarity")
+    rows = c.join(q, "upload_id").withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query")), 5))
+    hits = top(rows, ["query_id"], k + 5, F.desc("similarity"), "upload_id", "chunk_index")
+    return top(hits.where("chunk_index <> own").drop("rank"), ["query_id"], k, F.desc("similarity"), "chunk_index").select("rank", "upload_id", "chunk_index", "similarity")
 
 
 def intent(query: str) -> tuple[tuple[str, ...], float]:
