@@ -12,7 +12,7 @@ from parlance.operators.stats import top
 from parlance.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SEARCHES = ["A46_confidence", "T08_newest_first", "V03_nearest", "V03_search"]
+SEARCHES = ["A46_confidence", "T08_newest_first", "V03_nearest", "V03_search", "V05_intent_rerank"]
 
 
 def blockwise(df):
