@@ -218,6 +218,28 @@ def test_components_of_chains(spark):
     assert got == {k: v for k, v in label.items() if k in got} and set(label) - set(got) <= {a for a, b in links if a == b}
 
 
+@pytest.mark.parametrize("most", [1 << 18, 40])
+def test_links_that_one_task_can_hold_take_no_rounds(spark, monkeypatch, most):
+    """Rounds are for links that span tasks; either way every node has the least one that it reaches."""
+    rng = random.Random(8)
+    links = [(f"n{i:04}", f"n{i + 1:04}") for i in range(300) if i % 37] + [(f"h{rng.randrange(60):02}", "h00") for _ in range(120)] + [(None, "h01"), ("x", None), ("y", "y")]
+    label = {x: x for p in links for x in p if None not in p and p[0] != p[1]}
+    for _ in range(60):
+        for a, b in links:
+            if a in label and b in label:
+                label[a] = label[b] = min(label[a], label[b])
+    rounds = []
+    stars = components._stars
+    monkeypatch.setattr(components, "_stars", lambda *a: rounds.append(1) or stars(*a))
+    monkeypatch.setattr(components, "LINKS", most)
+    rng.shuffle(links)
+    for kind in ("string", "binary"):
+        rows = spark.createDataFrame(links, "a string, b string").selectExpr(f"CAST(a AS {kind}) AS a", f"CAST(b AS {kind}) AS b")
+        got = [tuple(bytes(x).decode() if kind == "binary" else x for x in r) for r in components.components(rows).select("node", "component").collect()]
+        assert len(got) == len(dict(got)) and dict(got) == label
+    assert bool(rounds) == (most == 40)
+
+
 # ---- mixing ----
 
 def plain_targets(sizes, weights=(5, 2, 1), most=3):
